@@ -118,6 +118,8 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
     """(id, drop): for each document that loses lines, the keys it loses."""
     spark = docs.sparkSession
     lines = written(line_keys(docs, id_col, text_col, min_chars), "lines")
+    if lines.isEmpty():
+        return lines.groupBy("id").agg(F.collect_list(F.struct(*KEYS)).alias("drop"))
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
     ledger = RunLedger(spark, fanout)
@@ -128,7 +130,8 @@ def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, mi
         if high is not None:
             batch = batch.where(F.col("id") < high)
         ledger.add(batch)
-    heavy = ledger.compacted().where(F.col("n") >= min_docs).select(*KEYS, "owner")
+    # a table of its own, so that a key with very many lines can be split where it meets them
+    heavy = written(ledger.compacted().where(F.col("n") >= min_docs).select(*KEYS, "owner"), "heavy-lines")
     return lines.join(heavy.hint("merge"), KEYS).where("id < owner").groupBy("id").agg(F.collect_list(F.struct(*KEYS)).alias("drop"))
 
 
