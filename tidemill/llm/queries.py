@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif_media, line_dedup, mixing, simhash, token_files
+from . import decontamination, gif_media, language_id, line_dedup, mixing, quality, simhash, token_files
 from .store import written
 
 #: Tokenizer of op3; any other file of the folder works too.
@@ -22,6 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(divisor: int):
+    """crc32 of the id as text leaves 2; a null id is held out of nothing."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == 2, F.lit(False))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.matches(docs, table(spark, sf_dir, "benchmark"))
+    hits = decontamination.hit_words()
+    return found.select(
+        "doc_id", F.col("_words").alias("n_words"), hits.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), (hits > 0).alias("contaminated"),
+    )
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -38,6 +53,18 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~_held_out(4))
+    return language_id.predict(docs, model).select("doc_id", _held_out(4).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= 0.5).alias("keep"), F.col("_content_odds").alias("content_log_odds"), F.col("_meta_odds").alias("metadata_log_odds"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -47,12 +74,35 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_files, op4_gif_media, op8_source_mix, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op4_gif_media, op5_language_id, op7_quality, op8_source_mix, op9_simhash)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 ORACLES = {
+    "op1_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, w, least(10, len(w)) AS size
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS w FROM benchmark) WHERE len(w) > 0
+), g AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM b)
+), o AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM (SELECT d.*, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM g) WHERE len(w) >= size)
+), h AS (
+  SELECT doc_id, size, i, item FROM o JOIN g USING (size, gram)
+), n AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM h) GROUP BY doc_id
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op2_line_dedup": f"""
 WITH l AS (
   SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], {_WHITE}), '{_UPPER}', '{_LOWER}') AS k
