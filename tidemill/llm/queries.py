@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif_media, language_id, line_dedup, mixing, quality, simhash, token_files
+from . import decontamination, gif_media, language_id, line_dedup, lm_scoring, mixing, quality, simhash, token_files
 from .store import written
 
 #: Tokenizer of op3; any other file of the folder works too.
@@ -59,6 +59,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", _held_out(4).alias("held_out"), "lang_pred", "score")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm_scoring.train(docs, ~_held_out(7))
+    out = lm_scoring.score(docs, model).withColumn("held_out", _held_out(7)).withColumn("train_tokens", F.lit(model.total).cast("long"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -74,7 +81,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op4_gif_media, op5_language_id, op7_quality, op8_source_mix, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op4_gif_media, op5_language_id, op6_lm_scoring, op7_quality, op8_source_mix, op9_simhash)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
