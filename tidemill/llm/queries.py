@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, gif_media, language_id, line_dedup, lm_scoring, mixing, quality, simhash, token_files
+from . import decontamination, gif_media, language_id, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, token_files
 from .store import written
 
 #: Tokenizer of op3; any other file of the folder works too.
@@ -81,7 +81,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op4_gif_media, op5_language_id, op6_lm_scoring, op7_quality, op8_source_mix, op9_simhash)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op4_gif_media, op5_language_id, op6_lm_scoring, op7_quality, op8_source_mix, op9_simhash, op10_substring_dedup)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
