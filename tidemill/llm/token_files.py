@@ -21,6 +21,7 @@ the smallest 64-bit integer; equal ids go by text; an empty table has no files.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import re
@@ -196,6 +197,12 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends[last]])
 
 
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str, end_id: int) -> WordEncoder:
+    """A worker's encoder: loaded once, its tables kept from task to task."""
+    return WordEncoder(path, end_id)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
@@ -298,7 +305,7 @@ def write_token_files(
 
     def write(batches):
         task = TaskContext.get()
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = shared_encoder(tokenizer_path, end_id)
         bits = bits_for(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
         own, at = _filesystem(folder)
         name, temporary = f"{at}/tokens-{task.partitionId():06d}.tok", f"{at}/.attempt-{task.taskAttemptId()}"
