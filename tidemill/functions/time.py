@@ -18,8 +18,8 @@ def exact_millis(ms) -> Column:
 
 
 def to_millis(text) -> Column:
-    """Epoch milliseconds of ``yyyy-MM-dd HH:mm:ss`` text."""
-    return F.unix_millis(F.to_timestamp(text, SECONDS))
+    """Epoch milliseconds of ``yyyy-MM-dd HH:mm:ss`` text; null if it is none."""
+    return F.unix_millis(F.try_to_timestamp(text, F.lit(SECONDS)))
 
 
 def shown(ts) -> Column:

@@ -26,8 +26,8 @@ def product_row(rows: DataFrame, sku, ts, kind: str | None = None, order_id=None
     as_col = lambda x: F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
     own = [F.coalesce(as_col(measures.get(m, 0)), F.lit(0)).cast(t).alias(m) for m, t in PRODUCT.items()]
     return rows.select(
-        as_col(sku).cast("bigint").alias("sku_id"), as_col(ts).alias("event_time"), F.lit(kind).cast("string").alias("order_kind"),
-        (as_col(order_id) if order_id is not None else F.lit(None)).cast("bigint").alias("order_id"), *own,
+        as_col(sku).try_cast("bigint").alias("sku_id"), as_col(ts).alias("event_time"), F.lit(kind).cast("string").alias("order_kind"),
+        (as_col(order_id) if order_id is not None else F.lit(None)).try_cast("bigint").alias("order_id"), *own,
     )
 
 

@@ -19,7 +19,7 @@ UNFILLED = {"split_feight_fee": "decimal(16,2)", "expire_time": "string", "opera
 
 def timed(facts: DataFrame, text: str = "create_time", watermark: str | None = None) -> DataFrame:
     """facts with ``event_time`` and the parts of their creation time; on streams with a watermark."""
-    out = facts.withColumns(t.create_parts(text)).withColumn("event_time", F.to_timestamp(text, t.SECONDS))
+    out = facts.withColumns(t.create_parts(text)).withColumn("event_time", F.try_to_timestamp(text, F.lit(t.SECONDS)))
     return out.withWatermark("event_time", watermark) if watermark else out
 
 
