@@ -89,10 +89,12 @@ class WordEncoder:
     text's ids are those of its words in turn, and plain words' ids are those
     of their pieces, merged by the tokenizer's own model. Any other word goes
     through the whole tokenizer, and with another kind of tokenizer so does
-    any text. Full tables are cleared; that changes nothing but time.
+    any text. A full table of words is cleared, one of pieces becomes the old
+    one, from which those still in use are taken over; that changes nothing
+    but time.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int, most: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,35 +112,45 @@ class WordEncoder:
             self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
             self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             self.bytes = _byte_characters()
+        self.piece_index, self.piece_starts, self.piece_lengths, self.piece_pool = {}, *np.zeros((2, 1), np.int64), np.zeros(0, np.uint32)
+        self._age_pieces()
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         # of words; entry 0: the end of a text
         self.starts, self.lengths, self.pool = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end_id], np.uint32)
-        self._clear_pieces()
 
-    def _clear_pieces(self) -> None:
-        self.piece_index: dict[str, int] = {"\n": 0}
+    def _age_pieces(self) -> None:
+        self.old = (self.piece_index, self.piece_starts, self.piece_lengths, self.piece_pool)
+        self.piece_index = {"\n": 0}
         self.piece_starts, self.piece_lengths, self.piece_pool = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        ids = np.array(self.bare.encode(" ".join(new).translate(self.bytes), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) != len(new):
+    def _learn_pieces(self, new: set[str]) -> None:
+        index, starts, lengths, pool = self.old
+        met = [p for p in new if p in index]
+        unmet = list(new.difference(met))
+        was = np.fromiter(map(index.__getitem__, met), np.int64, len(met))
+        size = lengths[was]
+        ends = np.cumsum(size)
+        taken = pool[np.arange(size.sum()) + np.repeat(starts[was] - (ends - size), size)]
+        ids = np.array(self.bare.encode(" ".join(unmet).translate(self.bytes), add_special_tokens=False).ids, np.uint32)
+        closes = np.flatnonzero(self.closes[ids]) + 1
+        if len(closes) != len(unmet):
             raise ValueError("the tokenizer's pieces don't end where words do")
         at = len(self.piece_lengths)
-        self.piece_index.update(zip(new, range(at, at + len(new)), strict=True))
-        self.piece_lengths = np.concatenate([self.piece_lengths, np.diff(ends, prepend=0)])
+        self.piece_index.update(zip(itertools.chain(met, unmet), range(at, at + len(new)), strict=True))
+        self.piece_lengths = np.concatenate([self.piece_lengths, size, np.diff(closes, prepend=0)])
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
-        self.piece_pool = np.concatenate([self.piece_pool, ids])
+        self.piece_pool = np.concatenate([self.piece_pool, taken, ids])
 
     def _plain_ids(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of plain words in a row, and how many each has."""
         flat = _PIECES.findall("\n".join([*plain, ""]).lower())
-        if len(self.piece_index) + len(flat) > self.most:
-            self._clear_pieces()
-        if fresh := list(set(flat) - self.piece_index.keys()):
+        used = set(flat)
+        if len(self.piece_index) + len(used) > self.most // 2:
+            self._age_pieces()
+        if fresh := used - self.piece_index.keys():
             self._learn_pieces(fresh)
         piece = np.fromiter(map(self.piece_index.__getitem__, flat), np.int64, len(flat))
         lengths = self.piece_lengths[piece]
@@ -183,10 +195,12 @@ class WordEncoder:
         known = coded.dictionary.to_pylist()
         if len(self.index) + len(known) > self.most:
             self._clear()
-        new = [w for w in known if w not in self.index]
-        if new:
+        entry = np.fromiter(map(self.index.get, known, itertools.repeat(-1)), np.int64, len(known))
+        unmet = np.flatnonzero(entry < 0)
+        if len(unmet):
+            new = [known[i] for i in unmet.tolist()]
             self._learn(new)
-        entry = np.fromiter(map(self.index.__getitem__, known), np.int64, len(known))
+            entry[unmet] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         entries = entry[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
         entries = np.insert(entries, at[1:], 0)
         lengths = self.lengths[entries]
