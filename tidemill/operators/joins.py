@@ -23,5 +23,7 @@ def enrich(facts: DataFrame, dimension: DataFrame, key: str, columns: dict[str,
     dimension is broadcast is left to its size.
     """
     own = dimension.select(F.col(dim_key).alias("_dim_key"), *[F.col(c).alias(f"_dim_{n}") for n, c in columns.items()])
-    out = facts.join(own, F.col(key).cast("string") == F.col("_dim_key").cast("string"), how)
+    alike = dict(facts.dtypes).get(key) == dict(own.dtypes)["_dim_key"]
+    on = F.col(key) == F.col("_dim_key") if alike else F.col(key).cast("string") == F.col("_dim_key").cast("string")
+    out = facts.join(own, on, how)
     return out.withColumns({n: F.col(f"_dim_{n}") for n in columns}).drop("_dim_key", *[f"_dim_{n}" for n in columns])

@@ -185,9 +185,9 @@ _SALES = f"""{_O}, sales AS (
 DAY = 19950617
 
 
-def _sales(spark, sf) -> DataFrame:
-    """product_stats of orders alone, each detail at its order's time; the day's rows are picked before the join."""
-    o, d = s.order_info(spark, sf), s.order_detail(spark, sf).drop("event_time")
+def _sales(spark, sf, day="1995-06-17") -> DataFrame:
+    """product_stats of a day's orders alone, each detail at its order's time; windows are days, so the scan can pick the day."""
+    o, d = s.order_info(spark, sf, day), s.order_detail(spark, sf).drop("event_time")
     rows = o.select(F.col("id").alias("_order"), "total_amount", "event_time").join(d, F.col("_order") == F.col("order_id"))
     return windows.product_stats(measures.ordered(rows), s.dimensions(spark, sf), "1 day")
 
@@ -214,7 +214,7 @@ def gmv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(0 AS DECIMAL(36,2)) AS order_amount")
 def gmv_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.gmv(_sales(spark, sf), 19010101)
+    return serving.gmv(_sales(spark, sf, "1901-01-01"), 19010101)
 
 
 def _top_sql(keys: str, more: str = "") -> str:

@@ -18,9 +18,13 @@ def _no(*names: str, kind: str = MONEY) -> list:
     return [F.lit(None).cast(kind).alias(n) for n in names]
 
 
-def order_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders; a customer's nation is the order's province."""
-    own = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+def order_info(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
+    """Orders; a customer's nation is the order's province. day: only that day's, picked by the scan."""
+    orders = table(spark, sf_dir, "orders")
+    if day:
+        low = F.to_timestamp_ntz(F.lit(day))
+        orders = orders.where((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < low + F.expr("interval 1 day")))
+    own = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     return own.select(
         F.col("o_orderkey").alias("id"), F.col("c_nationkey").cast("bigint").alias("province_id"), F.col("o_orderstatus").alias("order_status"), F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").cast(MONEY).alias("total_amount"), *_no("activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee"),
