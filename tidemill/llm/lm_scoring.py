@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import batch_of, map_slices, slices, words
+from .arrowtext import batch_of, map_batches, map_slices, slices, words
 from .store import written
 
 END, OTHER = 0, 1
@@ -50,7 +50,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return apply
 
-    rows = map_slices(docs.select(F.col(text_col).alias("text")), step, "word string, n long", budget=16 << 20)
+    rows = map_slices(docs.select(F.col(text_col).alias("text")), step, "word string, n long", budget=8 << 20)
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -84,7 +84,7 @@ class LogBilinear:
         self.params = {n: x.astype(np.float32) for n, x in self.params.items()}
         self.sums = {n: np.full(x.shape, 1e-2, np.float32) for n, x in self.params.items()}
 
-    def train(self, context1: np.ndarray, context2: np.ndarray, target: np.ndarray, rng: np.random.Generator, batch: int = 8192, noise: int = 32, rate: float = 0.05) -> None:
+    def train(self, context1: np.ndarray, context2: np.ndarray, target: np.ndarray, rng: np.random.Generator, batch: int = 512, noise: int = 32, rate: float = 0.2) -> None:
         """One pass of noise-contrastive estimation; the noise words of a batch are shared by its tokens."""
         k, dim = self.params["R"].shape
         log_noise = (np.log(self.noise) + np.log(noise)).astype(np.float32)
@@ -209,12 +209,12 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", classes: int =
         if tokens:
             yield pa.record_batch([[task], [tokens], [(model.flat().astype(np.float64) * tokens).tobytes()]], ["g", "n", "model"])
 
-    models = written(own.mapInArrow(fit, "g long, n long, model binary"), "models")
+    models = written(map_batches(own, fit, "g long, n long, model binary"), "models")
     left = models.count()
-    while left > 64:  # sums of eight copies at a time
+    while left > 16:  # sums of eight copies at a time
         left = -(-left // 8)
         models = written(models.select(F.pmod("g", F.lit(left)).alias("g"), "n", "model").groupBy("g").applyInArrow(_summed, "g long, n long, model binary"), "models")
-    rows = models.collect()  # at most 64 copies of fixed size
+    rows = models.collect()  # at most 16 copies of fixed size
     lbl = LogBilinear(unigrams, dim, seed)
     if rows:
         lbl.load(sum(np.frombuffer(r["model"]) for r in sorted(rows, key=lambda r: r["g"])) / sum(r["n"] for r in rows))
