@@ -1,12 +1,14 @@
 """Arrow helpers for operators that run over whole texts.
 
-Spark hands ``mapInArrow`` batches of up to some ten thousand rows. ``slices``
-cuts them by bytes so that what an operator derives from a batch stays small;
-a text longer than the budget is a slice of its own and is never cut.
+Spark hands tasks batches of up to ``BATCH_ROWS`` rows. ``slices`` cuts them
+by bytes so that what an operator derives from a batch stays small; a text
+longer than the budget is a slice of its own and is never cut. Workers outlive
+tasks and operators: each task gives back the memory it is done with.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +21,46 @@ from pyspark.sql.types import StructType
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Limits of a batch between Spark and its workers; set in the session that runs an operator.
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make()`` gives, kept by the worker from task to task until one asks for something else or for nothing."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def tidy() -> None:
+    """Hands unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable, schema: StructType | str, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; keeps: the task uses what the worker has kept."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def task(batches):
+        if not keeps:
+            _kept.clear()
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(task, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if not n:
@@ -40,7 +82,7 @@ def map_slices(
     column: str = "text",
     budget: int = 4 << 20,
 ) -> DataFrame:
-    """df.mapInArrow with ``step()`` made once a task and called for each slice."""
+    """map_batches with ``step()`` made once a task and called for each slice."""
 
     def run(batches):
         apply = step()
@@ -50,7 +92,7 @@ def map_slices(
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def as_binary(column: pa.Array) -> pa.Array:

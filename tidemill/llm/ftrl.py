@@ -47,7 +47,7 @@ class FtrlClassifier:
 
     def logits(self, rows: list[Row]) -> np.ndarray:
         w, b = self._weights(slice(0, -1)), self._bias()
-        return np.array([x @ w[at] + b for at, x in rows]).reshape(len(rows), -1)
+        return np.array([x @ w[at] + b for at, x in rows]).reshape(len(rows), self.z.shape[1])
 
     def calibrate(self, rows: list[Row], labels: np.ndarray) -> FtrlClassifier:
         """Sets the temperature that makes held-back labels most likely, by golden-section search on its logarithm."""

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import as_binary, batch_of, map_slices
+from .arrowtext import as_binary, batch_of, map_batches, map_slices
 from .store import written
 
 
@@ -96,7 +96,7 @@ def mix(
             last, total = src[-1], int(before[-1] + size[-1])
             yield batch_of(schema, np.full(len(src), pid, np.int32), b.column(0), b.column(2), b.column(3), before)
 
-    runs = written(dealt.mapInArrow(prefix, "pid int, src int, id long, size long, before long"), "mix-runs")
+    runs = written(map_batches(dealt, prefix, "pid int, src int, id long, size long, before long"), "mix-runs")
     sums = runs.groupBy("pid", "src").agg(F.max(F.col("before") + F.col("size")).alias("own"))
     earlier = F.expr("coalesce(sum(own) over (partition by src order by pid rows between unbounded preceding and 1 preceding), 0)")
     lifts = sums.withColumn("lift", earlier).join(book, "src").select("pid", "src", "lift", "source_size", "target")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, map_slices, translated
+from .arrowtext import LOWER, map_batches, map_slices, slices, translated
 
 #: Odd 32-bit multipliers of a character's place in an n-gram.
 _PLACE = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -51,8 +51,6 @@ def document_frequencies(docs: DataFrame, text_col: str, orders: tuple[int, ...]
     """How many documents there are, and in how many each bucket occurs; over all rows of docs."""
 
     def run(batches):
-        from .arrowtext import slices
-
         seen, total = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -62,7 +60,7 @@ def document_frequencies(docs: DataFrame, text_col: str, orders: tuple[int, ...]
         at = np.flatnonzero(seen)
         yield pa.record_batch([np.append(at, -1), np.append(seen[at], total)], ["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = map_batches(docs.select(F.col(text_col).alias("text")), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     df, total = np.zeros(1 << bits), 0
     for bucket, n in rows.collect():  # a row a bucket, whatever the input
         if bucket < 0:

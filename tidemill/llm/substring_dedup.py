@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import as_binary, map_slices, words
+from .arrowtext import as_binary, map_batches, map_slices, words
 from .components import components, forest
 from .store import written
 
@@ -186,7 +186,7 @@ def banded(docs: DataFrame, s: Settings) -> DataFrame:
 
         return apply
 
-    return map_slices(docs, step, "band long, c long, doc long, unit int, last long, n int, main boolean", budget=16 << 20)
+    return map_slices(docs, step, "band long, c long, doc long, unit int, last long, n int, main boolean", budget=8 << 20)
 
 
 def collided(rows: DataFrame, partitions: int) -> DataFrame:
@@ -222,7 +222,7 @@ def collided(rows: DataFrame, partitions: int) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield from found(rest)
 
-    return dealt.mapInArrow(run, "band long, c long, doc long, unit int, last long")
+    return map_batches(dealt, run, "band long, c long, doc long, unit int, last long")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
@@ -296,7 +296,7 @@ def verified(shared: DataFrame, sets: DataFrame, s: Settings, partitions: int) -
         if out:
             yield pa.record_batch(list(forest(np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]))), ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def classes(docs: DataFrame, s: Settings) -> DataFrame:
@@ -308,7 +308,7 @@ def classes(docs: DataFrame, s: Settings) -> DataFrame:
     place = F.min(F.struct("doc", "unit")).alias("at")
     wanted = shared.groupBy("c").agg(place).select("c", "at.doc", "at.unit")
     sets = written(shingle_sets(docs, wanted, s), "shingles")
-    roots = written(components(verified(shared, sets, s, n)), "roots")
+    roots = written(components(verified(shared, sets, s, n), thin=False), "roots")
     nodes = met.groupBy("c").agg(place, F.max("last").alias("last"), F.max(F.when(F.col("band").isNull(), True)).alias("again"))
     joined = nodes.join(roots, F.col("c") == F.col("node"), "left").where("again or root is not null").select("c", "at", "last", F.coalesce("root", "c").alias("root"))
     joined = written(joined, "classes")
