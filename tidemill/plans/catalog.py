@@ -8,6 +8,7 @@ has a tie-break, so that both sides agree to the digit.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -512,14 +513,22 @@ def dim_latest_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is and hands back its result table."""
+    """Runs a stream over all there is and hands back its result, kept as files; of complete results, the last one."""
     spark = stream.sparkSession
-    name = "tidemill_" + next(tempfile._get_candidate_names())
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{base.rstrip('/')}/{name}" if base else f"file://{tempfile.mkdtemp()}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True)
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp()}"
+    numbers_: list[int] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        numbers_.append(number)
+
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     writer.start().awaitTermination()
-    return spark.table(name)
+    if not numbers_:
+        return spark.createDataFrame([], stream.schema)
+    done = numbers_ if mode == "append" else numbers_[-1:]
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/batch={n}" for n in done])
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
