@@ -26,8 +26,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 9: of each component of near-duplicates, the document of the smallest id stays."""
     found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")), "kept-ids")
-    kept = docs.join(ids.select("_kept").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept if ids.where("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = f"c{docs.columns.index('doc_id')}"
+    kept = plain.join(ids.select("_kept").hint("merge"), F.col(own).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return (kept if ids.where("_n > 1").isEmpty() else kept.dropDuplicates([own])).toDF(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: token files in ascending order of id, and what they hold of each document."""
-    return token_files.token_table(docs, tokenizer_path())
+    return token_files.token_table(docs, tokenizer_path(), table_words=120_000, slice_bytes=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

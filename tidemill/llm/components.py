@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrowtext import map_batches
 from .store import written
 
 
@@ -58,15 +59,16 @@ def thinned(links: DataFrame, budget: int = 1 << 20) -> DataFrame:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             yield pa.record_batch([x, y], ["a", "b"])
 
-    return links.select("a", "b").mapInArrow(run, "a long, b long")
+    return map_batches(links.select("a", "b"), run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, thin: bool = True) -> DataFrame:
     """(node, root) for every node of a (a, b) table of longs; root: the component's smallest node.
 
     Links may repeat, point either way or be loops. Nodes without a link to another are left out.
+    thin: reduce the links task by task first; of no use where they are forests already.
     """
-    links = written(thinned(links).where("a <> b").distinct(), "links")
+    links = written((thinned(links) if thin else links.select("a", "b")).where("a <> b").distinct(), "links")
     parts = []
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

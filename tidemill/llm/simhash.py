@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import as_binary, batch_of, map_slices
+from .arrowtext import as_binary, batch_of, map_batches, map_slices
 from .components import components, forest
 from .store import written
 
@@ -165,7 +165,7 @@ def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool)
                     n = len(sig)
                     yield batch_of(schema, np.full(n, slot, np.int32), sig.view(np.int64), np.repeat(own, len(near)).view(np.int64), np.full(n, probes))
 
-    return fps.select("fp").mapInArrow(run, "slot int, sig long, fp long, probe boolean")
+    return map_batches(fps.select("fp"), run, "slot int, sig long, fp long, probe boolean")
 
 
 def _dealt(rows: DataFrame, large: DataFrame | None, joined: bool) -> DataFrame:
@@ -216,7 +216,7 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
         if rest is not None and len(rest[0]):
             yield from _verified(rest, np.array([0, len(rest[0])]), radius)
 
-    return sorted_.mapInArrow(run, "a long, b long")
+    return map_batches(sorted_, run, "a long, b long")
 
 
 def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, budget: int = 1 << 20):
@@ -278,7 +278,7 @@ def near_duplicates(
     drawn = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(np.ceil(share * 1_000_003))).select("fp").limit(4 * sample)
     drawn = np.array([r["fp"] for r in drawn.collect()], np.int64).view(np.uint64)
     if total:
-        roots = components(links(nodes, plan(drawn, total, radius), radius, block))
+        roots = components(links(nodes, plan(drawn, total, radius), radius, block), thin=False)
     else:
         roots = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

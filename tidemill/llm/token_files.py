@@ -21,7 +21,6 @@ the smallest 64-bit integer; equal ids go by text; an empty table has no files.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import re
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, batch_of, slices, words
+from .arrowtext import LOWER, batch_of, kept, map_batches, slices, words
 from .store import scratch
 
 MAGIC = b"TDMLTOK1"
@@ -94,12 +93,12 @@ class WordEncoder:
     but time.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 600_000):
+    def __init__(self, path: str, end_id: int, most: int = 400_000, most_pieces: int = 400_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.divider = self.tokenizer.token_to_id(DIVIDER)
-        self.end_id, self.most = end_id, most
+        self.end_id, self.most, self.most_pieces = end_id, most, most_pieces
         steps = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -148,7 +147,7 @@ class WordEncoder:
         """The ids of plain words in a row, and how many each has."""
         flat = _PIECES.findall("\n".join([*plain, ""]).lower())
         used = set(flat)
-        if len(self.piece_index) + len(used) > self.most // 2:
+        if len(self.piece_index) + len(used) > self.most_pieces // 2:
             self._age_pieces()
         if fresh := used - self.piece_index.keys():
             self._learn_pieces(fresh)
@@ -211,10 +210,9 @@ class WordEncoder:
         return ids, np.concatenate([[0], ends[last]])
 
 
-@functools.lru_cache(maxsize=1)
-def shared_encoder(path: str, end_id: int) -> WordEncoder:
+def shared_encoder(path: str, end_id: int, most: int) -> WordEncoder:
     """A worker's encoder: loaded once, its tables kept from task to task."""
-    return WordEncoder(path, end_id)
+    return kept(("encoder", path, end_id, most), lambda: WordEncoder(path, end_id, most, most))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -307,8 +305,14 @@ def write_token_files(
     end_id: int = 1,
     folder: str | None = None,
     partitions: int | None = None,
+    table_words: int = 400_000,
+    slice_bytes: int = 4 << 20,
 ) -> DataFrame:
-    """Writes the files; returns their manifest (path, first, n_docs, n_ids), a row a file, first: ids in earlier files."""
+    """Writes the files; returns their manifest (path, first, n_docs, n_ids), a row a file, first: ids in earlier files.
+
+    table_words and slice_bytes trade a worker's memory for time: about 250 MB beyond the tokenizer as they are, half of it
+    with a third of the words and a quarter of the bytes.
+    """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     fs, path = _filesystem(folder)
@@ -319,13 +323,13 @@ def write_token_files(
 
     def write(batches):
         task = TaskContext.get()
-        encoder = shared_encoder(tokenizer_path, end_id)
+        encoder = shared_encoder(tokenizer_path, end_id, table_words)
         bits = bits_for(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
         own, at = _filesystem(folder)
         name, temporary = f"{at}/tokens-{task.partitionId():06d}.tok", f"{at}/.attempt-{task.taskAttemptId()}"
         writer = stream = None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", slice_bytes):
                 if writer is None:
                     stream = own.open_output_stream(temporary)
                     writer = TokenFileWriter(stream, bits)
@@ -338,7 +342,7 @@ def write_token_files(
             yield pa.record_batch([[task.partitionId()], [f"{folder}/tokens-{task.partitionId():06d}.tok"], [sum(map(len, writer.docs))], [writer.n]], ["pid", "path", "n_docs", "n_ids"])
 
     # One row a file comes to the driver.
-    files = sorted(rows.mapInArrow(write, "pid long, path string, n_docs long, n_ids long").collect())
+    files = sorted(map_batches(rows, write, "pid long, path string, n_docs long, n_ids long", keeps=True).collect())
     first, manifest = 0, []
     for _, name, n_docs, n_ids in files:
         manifest.append((name, first, n_docs, n_ids))
@@ -368,7 +372,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
 
     n = max(1, manifest.count())
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return manifest.select("path", "first").repartition(n).mapInArrow(read, ddl)
+    return map_batches(manifest.select("path", "first").repartition(n), read, ddl)
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
