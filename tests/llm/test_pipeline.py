@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
 from tests.llm.test_decontamination import brute as brute_hits
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -52,7 +53,7 @@ def test_stages_handle_an_empty_table(spark):
 
 def test_stages_handle_nulls_repeats_and_extra_columns(spark):
     rows = [(None, None, None, None, None, "x"), (1, "", "en", "a", 0, "x"), (1, "", "en", "a", 0, "x"), (2, "good words here " * 9, None, None, 5, "y"), (3, "é" * 3000, "fr", "b", None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string").withColumns({c: F.lit(c) for c in ("_score", "_spans", "_items", "size", "fp", "key", "component_id", "_kept", "_n", "_mix_id", "start", "words")})
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name

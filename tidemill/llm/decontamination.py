@@ -265,6 +265,8 @@ def hit_words(column: str = "_spans"):
     return F.expr(f"aggregate(transform({column}, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (a, x) -> a + x)")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs."""
-    return matches(docs, benchmark, **options).where(F.size("_spans") == 0).select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs. Its columns may have any names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = matches(plain, benchmark, text_col=f"c{docs.columns.index(text_col)}", **options)
+    return found.where(F.size("_spans") == 0).select(*plain.columns).toDF(*docs.columns)

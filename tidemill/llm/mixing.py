@@ -112,5 +112,8 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken. A repeated id is taken as its first row is."""
     copies = mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    picked = docs.join(copies.where("_mix_copies > 0").hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")))
-    return picked.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    picked = plain.join(copies.where("_mix_copies > 0").hint("merge"), own.eqNullSafe(F.col("_mix_id")))
+    copy = F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))
+    return picked.withColumn("_mix_copy", copy).select(*plain.columns).toDF(*docs.columns)

@@ -203,10 +203,10 @@ def _viewed(rows: DataFrame) -> DataFrame:
     return map_slices(rows.select("id", "text", "source", "lang", "n_chars", "y"), step, "id long, y int, buckets array<int>, counts array<int>, meta array<int>")
 
 
-def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs with _score, _content_odds and _meta_odds; no row moves."""
+def scored(docs: DataFrame, model: QualityModel, columns: list[str] | None = None) -> DataFrame:
+    """docs with _score, _content_odds and _meta_odds; no row moves. columns: what docs' columns are, if not their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = {c: docs.columns.index(c) for c in ("text", *META)}
+    at = {c: (columns or docs.columns).index(c) for c in ("text", *META)}
 
     def step():
         def apply(batch):
@@ -218,9 +218,11 @@ def scored(docs: DataFrame, model: QualityModel) -> DataFrame:
         return apply
 
     ddl = docs.select("*", *[F.lit(0.0).alias(c) for c in ("_score", "_content_odds", "_meta_odds")]).schema
-    return map_slices(docs, step, ddl)
+    return map_slices(docs, step, ddl, docs.columns[at["text"]])
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that score at least the threshold."""
-    return scored(docs, train(docs, labels, **options)).where(F.col("_score") >= threshold).select(*docs.columns)
+    """The rows of docs that score at least the threshold. Its columns may have any names beside the known ones."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    found = scored(plain, train(docs, labels, **options), docs.columns)
+    return found.where(F.col("_score") >= threshold).select(*plain.columns).toDF(*docs.columns)
