@@ -23,8 +23,12 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of each component of near-duplicates, the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Operator 9: of each component of near-duplicates, the document of the smallest id stays.
+
+    Fingerprints within 3 bits are linked; first documents of what that gives are linked within 8 bits if at least 0.8
+    of their five-word shingles are the same.
+    """
+    found = simhash.similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")), "kept-ids")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own = f"c{docs.columns.index('doc_id')}"

@@ -12,6 +12,38 @@ from tidemill.llm.queries import tokenizer_path
 SF = "/root/testdata/sf0.001"
 
 
+def brute_similar(texts):
+    fps = {i: brute_fingerprint(t) for i, t in texts.items()}
+    groups = brute_components(list(fps.items()))
+    firsts = sorted(set(groups.values()))
+    words = {i: (texts[i] or "").lower().split() for i in firsts}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    up = {i: i for i in firsts}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in firsts:
+        for b in firsts:
+            if a < b and bin(fps[a] ^ fps[b]).count("1") <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    return {i: find(g) for i, g in groups.items()}
+
+
+def test_similar_documents_match_brute_force(spark):
+    from tidemill.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 500")
+    want = brute_similar({r["doc_id"]: r["text"] for r in docs.collect()})
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert got == want
+    fewer = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(set(want.values())) < len(set(fewer.values()))
+
+
 def test_pipeline_matches_brute_force(spark):
     from hashlib import md5
 
@@ -20,7 +52,7 @@ def test_pipeline_matches_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = {r["doc_id"]: r for r in quality.scored(docs, quality.train(docs, labels)).collect() if r["_score"] >= 0.5}
-    groups = brute_components([(i, brute_fingerprint(r["text"])) for i, r in rows.items()])
+    groups = brute_similar({i: r["text"] for i, r in rows.items()})
     rows = {i: r for i, r in rows.items() if groups[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {i: r for i, r in rows.items() if not brute_hits(r["text"], items)[1]}

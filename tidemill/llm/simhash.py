@@ -182,8 +182,11 @@ def _dealt(rows: DataFrame, large: DataFrame | None, joined: bool) -> DataFrame:
     return cells.withColumn("cell", F.explode(pick)).select("slot", "sig", F.col("cell.ia"), F.col("cell.pb"), "fp", "probe")
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints that have the components of all links within the radius."""
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK, thin: bool = True) -> DataFrame:
+    """(a, b): links between distinct fingerprints that have the components of all links within the radius.
+
+    thin=False: all links within the radius, some of them more than once.
+    """
     spark = fps.sparkSession
     index = signatures(fps, parts, False)
     sizes = index.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
@@ -212,15 +215,15 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
             if not len(heads):
                 continue
             rest = [c[heads[-1] :] for c in cols]
-            yield from _verified([c[: heads[-1]] for c in cols], heads, radius)
+            yield from _verified([c[: heads[-1]] for c in cols], heads, radius, thin)
         if rest is not None and len(rest[0]):
-            yield from _verified(rest, np.array([0, len(rest[0])]), radius)
+            yield from _verified(rest, np.array([0, len(rest[0])]), radius, thin)
 
     return map_batches(sorted_, run, "a long, b long")
 
 
-def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, budget: int = 1 << 20):
-    """Links of the buckets that begin at heads (the last one ends them), thinned to forests. Indexed rows come first in each."""
+def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, thin: bool, budget: int = 1 << 20):
+    """Links of the buckets that begin at heads (the last one ends them), thinned to forests if asked. Indexed rows come first in each."""
     fp, probe = cols[4].view(np.uint64), cols[5].astype(np.int64)
     sizes = np.diff(heads)
     many = np.flatnonzero(sizes > 1)
@@ -237,7 +240,8 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, budget: in
     def keep(x, y):
         good = (np.bitwise_count(x ^ y) <= radius) & (x != y)
         if good.any():
-            a, b = forest(x[good].view(np.int64), y[good].view(np.int64))
+            a, b = x[good].view(np.int64), y[good].view(np.int64)
+            a, b = forest(a, b) if thin else np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0).T
             found_a.append(a)
             found_b.append(b)
 
@@ -256,8 +260,17 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, budget: in
             part = fp[other[k] + at : other[k] + min(at + step, int(others[k]))]
             keep(np.repeat(a, len(part)), np.tile(part, len(a)))
     if found_a:
-        x, y = forest(np.concatenate(found_a), np.concatenate(found_b))
-        yield pa.record_batch([x, y], ["a", "b"])
+        x, y = np.concatenate(found_a), np.concatenate(found_b)
+        yield pa.record_batch(list(forest(x, y)) if thin else [x, y], ["a", "b"])
+
+
+def planned(nodes: DataFrame, radius: int, sample: int = 2048) -> list[tuple[list[int], int]]:
+    """A plan for the fingerprints of nodes, from a sample of about ``sample``; empty if there are none."""
+    total = nodes.count()
+    share = min(1.0, sample / max(1, total))
+    drawn = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(np.ceil(share * 1_000_003))).select("fp").limit(4 * sample)
+    drawn = np.array([r["fp"] for r in drawn.collect()], np.int64).view(np.uint64)
+    return plan(drawn, total, radius) if total else []
 
 
 def near_duplicates(
@@ -273,12 +286,9 @@ def near_duplicates(
     """(id_col, fp, component_id): component_id is the smallest id among the documents that links reach."""
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    total = nodes.count()
-    share = min(1.0, sample / max(1, total))
-    drawn = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) < int(np.ceil(share * 1_000_003))).select("fp").limit(4 * sample)
-    drawn = np.array([r["fp"] for r in drawn.collect()], np.int64).view(np.uint64)
-    if total:
-        roots = components(links(nodes, plan(drawn, total, radius), radius, block), thin=False)
+    parts = planned(nodes, radius, sample)
+    if parts:
+        roots = components(links(nodes, parts, radius, block), thin=False)
     else:
         roots = nodes.select(F.col("fp").alias("node"), F.col("fp").alias("root"))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -286,3 +296,59 @@ def near_duplicates(
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(firsts, "root").select("fp", "component_id")
     return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    own = text.lower().split()
+    grams = [b" ".join(own[i : i + shingle]) for i in range(len(own) - shingle + 1)] or [b" ".join(own)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
+
+
+def similar_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = 3,
+    wide: int = 8,
+    similarity: float = 0.8,
+    words: int = 5,
+    **options,
+) -> DataFrame:
+    """(id_col, fp, component_id) as near_duplicates gives it, and classes whose first documents are alike put together.
+
+    First documents of classes are searched within ``wide`` bits, and joined if
+    the Jaccard similarity of their shingle sets, of ``words`` words, is at
+    least ``similarity``. Of rows that repeat an id, one text is compared.
+    """
+    base = written(near_duplicates(docs, id_col, text_col, radius, **options).withColumnRenamed(id_col, "id"), "classes")
+    firsts = written(base.where("id = component_id").groupBy(F.col("component_id").alias("doc")).agg(F.min("fp").alias("fp")), "firsts")
+    parts = planned(firsts, wide)
+    if not parts:
+        return base.withColumnRenamed("id", id_col)
+    pairs = links(firsts, parts, wide, thin=False).distinct()
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("doc").alias(f"doc_{c}")) for c in "ab")
+    pairs = written(pairs.join(a, "a").join(b, "b").select("doc_a", "doc_b"), "alike")
+    asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(asked.hint("merge"), "doc", "left_semi")
+
+    def step():
+        return lambda batch: pa.record_batch([batch.column(0), pa.array([shingle_set(t, words) for t in as_binary(batch.column(1)).to_pylist()], pa.list_(pa.int64()))], ["doc", "own"])
+
+    sets = written(map_slices(rows, step, "doc long, own array<bigint>").dropDuplicates(["doc"]), "sets")
+    sa, sb = (sets.select(F.col("doc").alias(f"doc_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
+    both = pairs.join(sa.hint("merge"), "doc_a").join(sb.hint("merge"), "doc_b")
+
+    def compare(batches):
+        for batch in batches:
+            own = [(batch.column(i).offsets.to_numpy(), batch.column(i).values.to_numpy()) for i in (2, 3)]
+            good = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                x, y = (flat[at[k] : at[k + 1]] for at, flat in own)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good[k] = shared >= similarity * (len(x) + len(y) - shared)
+            yield pa.record_batch([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
+
+    alike = map_batches(both.select("doc_a", "doc_b", "own_a", "own_b"), compare, "a long, b long")
+    roots = components(alike, thin=False)
+    out = base.join(roots.hint("merge"), F.col("component_id") == F.col("node"), "left")
+    return out.select(F.col("id").alias(id_col), "fp", F.coalesce("root", "component_id").alias("component_id"))
