@@ -239,3 +239,15 @@ def test_collector(tmp_path, spark):
     split = logs.split_dirty(raw)
     assert (split.clean.count(), split.dirty.count()) == (1, 1)
     assert json.loads(raw.where("value like '{%'").first()[0])["ts"] == 1704067200000
+
+
+def test_database_rows_in_either_case(spark):
+    url = "jdbc:derby:memory:tidemill;create=true"
+    spark.createDataFrame([(1, "x"), (2, "y")], "SKU_ID int, TM_NAME string").write.jdbc(url, "dims", mode="overwrite")
+    got = streams.jdbc_table(spark, url, "select SKU_ID, TM_NAME from dims")
+    assert sorted(map(tuple, got.collect())) == [(1, "x"), (2, "y")] and got.columns == ["sku_id", "tm_name"]
+    assert streams.jdbc_table(spark, url, "select SKU_ID, TM_NAME from dims", camel=True).columns == ["skuId", "tmName"]
+    parts = streams.jdbc_table(spark, url, "select SKU_ID, TM_NAME from dims", partitionColumn="SKU_ID", lowerBound="1", upperBound="2", numPartitions="2")
+    assert parts.count() == 2
+    with pytest.raises(Exception, match="NOWHERE|nowhere"):
+        streams.jdbc_table(spark, url, "select * from nowhere").collect()
