@@ -24,9 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder; nothing exists there yet."""
-    return f"{shared_folder(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_folder(spark)}/tidemill/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -38,8 +42,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path through Hadoop's file system, whatever store it is in."""
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has made in the shared folder. DataFrames that read from it can't be used any more."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    while _made:
+        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
