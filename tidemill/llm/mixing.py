@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import as_binary, batch_of, map_batches, map_slices
-from .store import written
+from .store import partitions_for, written
 
 
 def word_sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -76,7 +76,7 @@ def mix(
     book = spark.createDataFrame(
         [(i, name, s, t) for i, ((name, s), t) in enumerate(zip(totals, budget, strict=True))], "src int, name string, source_size long, target double"
     )
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(sizes)
     dealt = sizes.join(book.select("src", "name"), F.col("source").eqNullSafe(F.col("name"))).select("src", "key", "id", "size")
     dealt = dealt.repartitionByRange(n, "src", "key", "id").sortWithinPartitions("src", "key", "id", "size")
     schema = pa.schema([("pid", pa.int32()), ("src", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("before", pa.int64())])

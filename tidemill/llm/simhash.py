@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import as_binary, batch_of, map_batches, map_slices
 from .components import components, forest
-from .store import written
+from .store import partitions_for, written
 
 BITS = 64
 #: Rows of a bucket that are compared within one task; larger buckets are cut into blocks.
@@ -187,7 +187,6 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
 
     thin=False: all links within the radius, some of them more than once.
     """
-    spark = fps.sparkSession
     index = signatures(fps, parts, False)
     sizes = index.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = written(sizes.select("slot", "sig", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
@@ -198,7 +197,8 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
         twins = index.where(F.col("slot").isin(exact)).join(F.broadcast(large) if held <= BROADCAST_KEYS else large, ["slot", "sig"], "left_semi")
         rows = rows.unionByName(twins.withColumn("probe", F.lit(True)))
     cells = _dealt(rows, large if held else None, held > BROADCAST_KEYS)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = sum(len(masks(len(bits), t)) if t else 1 for bits, t in parts)
+    n = partitions_for(fps, rows=fps.count() * (len(parts) + each))
     sorted_ = cells.repartition(n, "slot", "sig", "ia", "pb").sortWithinPartitions("slot", "sig", "ia", "pb", "probe")
 
     def run(batches):

@@ -42,6 +42,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, rows: int = 0, target_bytes: int = 64 << 20, target_rows: int = 4 << 20) -> int:
+    """How many partitions to deal df's rows to: the session's number, or more if that many would be too large.
+
+    rows: how many rows will be dealt, if that does not follow from df's size.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-size // target_bytes) if size < 1 << 60 else 0  # Spark's word for "unknown" is larger
+    return max(n, by_size, -(-rows // target_rows))
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has made in the shared folder. DataFrames that read from it can't be used any more."""
     jvm = spark.sparkContext._jvm

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .arrowtext import as_binary, map_batches, map_slices, words
 from .components import components, forest
-from .store import written
+from .store import partitions_for, written
 
 SHINGLE = 5
 NO_ID = -(1 << 63)
@@ -301,8 +301,7 @@ def verified(shared: DataFrame, sets: DataFrame, s: Settings, partitions: int) -
 
 def classes(docs: DataFrame, s: Settings) -> DataFrame:
     """(c, root, doc, unit): contents that have a twin, the first of their component's contents, and its first place."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs)
     met = written(collided(banded(docs, s), n), "collided")
     shared = met.where("band is not null")
     place = F.min(F.struct("doc", "unit")).alias("at")
