@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import LOWER, batch_of, kept, map_batches, slices, words
-from .store import scratch
+from .store import partitions_for, scratch
 
 MAGIC = b"TDMLTOK1"
 BLOCK = 8192
@@ -81,6 +81,13 @@ def _byte_characters() -> dict[int, str]:
     return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(33, 256)}
 
 
+def _ranges(pool: np.ndarray, shift: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ranges of pool in a row; shift: where each begins, less the lengths before it."""
+    at = np.repeat(shift.astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at]
+
+
 class WordEncoder:
     """Encodes texts by a table of the words met before.
 
@@ -132,8 +139,10 @@ class WordEncoder:
         was = np.fromiter(map(index.__getitem__, met), np.int64, len(met))
         size = lengths[was]
         ends = np.cumsum(size)
-        taken = pool[np.arange(size.sum()) + np.repeat(starts[was] - (ends - size), size)]
-        ids = np.array(self.bare.encode(" ".join(unmet).translate(self.bytes), add_special_tokens=False).ids, np.uint32)
+        taken = _ranges(pool, starts[was] - (ends - size), size)
+        # some words at a time: an encoding holds far more than ids
+        parts = [" ".join(unmet[k : k + 8192]).translate(self.bytes) for k in range(0, len(unmet), 8192)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(self.bare.encode(p, add_special_tokens=False).ids, np.uint32) for p in parts)])
         closes = np.flatnonzero(self.closes[ids]) + 1
         if len(closes) != len(unmet):
             raise ValueError("the tokenizer's pieces don't end where words do")
@@ -154,7 +163,7 @@ class WordEncoder:
         piece = np.fromiter(map(self.piece_index.__getitem__, flat), np.int64, len(flat))
         lengths = self.piece_lengths[piece]
         ends = np.cumsum(lengths)
-        ids = self.piece_pool[np.arange(ends[-1]) + np.repeat(self.piece_starts[piece] - (ends - lengths), lengths)]
+        ids = _ranges(self.piece_pool, self.piece_starts[piece] - (ends - lengths), lengths)
         return ids, np.diff(ends[piece == 0], prepend=0)
 
     def _learn(self, new: list[str]) -> None:
@@ -204,15 +213,14 @@ class WordEncoder:
         entries = np.insert(entries, at[1:], 0)
         lengths = self.lengths[entries]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(self.starts[entries] - (ends - lengths), lengths)]
+        ids = _ranges(self.pool, self.starts[entries] - (ends - lengths), lengths)
         last = at[1:] + np.arange(len(at) - 1)
         return ids, np.concatenate([[0], ends[last]])
 
 
 def shared_encoder(path: str, end_id: int, most: int) -> WordEncoder:
     """A worker's encoder: loaded once, its tables kept from task to task."""
-    return kept(("encoder", path, end_id, most), lambda: WordEncoder(path, end_id, most, most))
+    return kept(("encoder", path, end_id, most), lambda: WordEncoder(path, end_id, most, 2 * most))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -305,19 +313,18 @@ def write_token_files(
     end_id: int = 1,
     folder: str | None = None,
     partitions: int | None = None,
-    table_words: int = 400_000,
+    table_words: int = 300_000,
     slice_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Writes the files; returns their manifest (path, first, n_docs, n_ids), a row a file, first: ids in earlier files.
 
-    table_words and slice_bytes trade a worker's memory for time: about 250 MB beyond the tokenizer as they are, half of it
-    with a third of the words and a quarter of the bytes.
+    table_words and slice_bytes trade a worker's memory for time; as they are, it peaks at about 370 MB.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark, "tokens")
     fs, path = _filesystem(folder)
     fs.create_dir(path)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partitions_for(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
 
