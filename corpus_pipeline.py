@@ -26,14 +26,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Operator 9: of each component of near-duplicates, the document of the smallest id stays.
 
     Fingerprints within 3 bits are linked; first documents of what that gives are linked within 8 bits if at least 0.8
-    of their five-word shingles are the same.
+    of their five-word shingles are the same. Rows are known by id and text, so that distinct texts without an id, or of
+    one id, are kept or go on their own; a document with an id goes before one without.
     """
-    found = simhash.similar_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = written(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")), "kept-ids")
+    kept = written(simhash.one_of_each(docs).select(F.col("id").alias("_kept"), F.col("key").alias("_key"), F.col("n").alias("_n")), "kept-ids")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    own = f"c{docs.columns.index('doc_id')}"
-    kept = plain.join(ids.select("_kept").hint("merge"), F.col(own).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return (kept if ids.where("_n > 1").isEmpty() else kept.dropDuplicates([own])).toDF(*docs.columns)
+    own, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    same = (simhash.text_key(text) == F.col("_key")) & F.col(own).cast("long").eqNullSafe(F.col("_kept"))
+    rows = plain.join(kept.drop("_n").hint("merge"), same, "left_semi")
+    return (rows if kept.where("_n > 1").isEmpty() else rows.dropDuplicates([own, text])).toDF(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

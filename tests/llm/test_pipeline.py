@@ -91,3 +91,16 @@ def test_stages_handle_nulls_repeats_and_extra_columns(spark):
         assert out.columns == docs.columns, name
         out.collect()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 5
+
+
+def test_rows_without_an_id_or_sharing_one_are_kept_by_their_texts(spark):
+    word = lambda k, i: zlib.crc32(f"{k}:{i}".encode()).to_bytes(4, "big").hex()
+    text = [" ".join(word(k, i) for i in range(60)) for k in range(8)]
+    near = text[0].rsplit(" ", 1)[0] + " other"
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (5, text[3]), (5, text[3]), (6, text[4]), (None, text[4]), (7, text[5]), (3, text[5]), (3, text[6]), (None, near), (9, text[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    first = [x for x in got if x[1] in (text[0], near)]
+    assert len(first) == 1 and first[0][0] is None
+    want = {(None, text[1]), (5, text[2]), (5, text[3]), (6, text[4]), (3, text[5]), (3, text[6])}
+    assert set(got) - set(first) == want and set(got.values()) == {1}

@@ -26,7 +26,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import as_binary, batch_of, map_batches, map_slices
@@ -60,17 +60,22 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """(id, key, fp): fp is the fingerprint as a signed 64-bit integer; key is a hash of the text, which tells rows of one id apart."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def step():
         def apply(batch):
-            fps = np.array([fingerprint(t, shingle, seed) for t in as_binary(batch.column(1)).to_pylist()], np.uint64)
-            return batch_of(schema, batch.column(0), fps.view(np.int64))
+            fps = np.array([fingerprint(t, shingle, seed) for t in as_binary(batch.column(2)).to_pylist()], np.uint64)
+            return batch_of(schema, batch.column(0), batch.column(1), fps.view(np.int64))
 
         return apply
 
-    return map_slices(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), step, "id long, fp long")
+    return map_slices(docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text")), step, "id long, key long, fp long")
+
+
+def text_key(text_col: str | Column = "text") -> Column:
+    """The hash of a text that keeps rows apart that share an id or have none."""
+    return F.xxhash64(text_col)
 
 
 # The plan of a search.
@@ -284,6 +289,12 @@ def near_duplicates(
     block: int = BLOCK,
 ) -> DataFrame:
     """(id_col, fp, component_id): component_id is the smallest id among the documents that links reach."""
+    found = _classed(docs, id_col, text_col, radius, shingle, seed, sample, block)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, seed: int = 42, sample: int = 2048, block: int = BLOCK) -> DataFrame:
+    """(id, key, fp, root, component_id) for every row: root is a fingerprint that stands for the component."""
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = planned(nodes, radius, sample)
@@ -294,8 +305,8 @@ def near_duplicates(
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(firsts, "root").select("fp", "component_id")
-    return fps.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes = rooted.join(firsts, "root").select("fp", "root", "component_id")
+    return fps.join(classes.hint("merge"), "fp").select("id", "key", "fp", "root", "component_id")
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -304,39 +315,29 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
 
 
-def similar_documents(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    radius: int = 3,
-    wide: int = 8,
-    similarity: float = 0.8,
-    words: int = 5,
-    **options,
-) -> DataFrame:
-    """(id_col, fp, component_id) as near_duplicates gives it, and classes whose first documents are alike put together.
-
-    First documents of classes are searched within ``wide`` bits, and joined if
-    the Jaccard similarity of their shingle sets, of ``words`` words, is at
-    least ``similarity``. Of rows that repeat an id, one text is compared.
-    """
-    base = written(near_duplicates(docs, id_col, text_col, radius, **options).withColumnRenamed(id_col, "id"), "classes")
-    firsts = written(base.where("id = component_id").groupBy(F.col("component_id").alias("doc")).agg(F.min("fp").alias("fp")), "firsts")
-    parts = planned(firsts, wide)
+def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int, similarity: float, words: int, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``_classed`` gives them, and for each class (root, at, group): its first row and a root of the classes put together."""
+    base = written(_classed(docs, id_col, text_col, radius, **options), "classes")
+    # rows without an id come last, rows that share one in the order of their texts' hashes
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp")).alias("at")
+    firsts = written(base.groupBy("root").agg(first).select("root", "at", "at.fp"), "firsts")
+    parts = planned(firsts.select("fp"), wide)
     if not parts:
-        return base.withColumnRenamed("id", id_col)
-    pairs = links(firsts, parts, wide, thin=False).distinct()
-    a, b = (firsts.select(F.col("fp").alias(c), F.col("doc").alias(f"doc_{c}")) for c in "ab")
-    pairs = written(pairs.join(a, "a").join(b, "b").select("doc_a", "doc_b"), "alike")
-    asked = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(asked.hint("merge"), "doc", "left_semi")
+        return base, firsts.select("root", "at", F.col("root").alias("group"))
+    pairs = links(firsts.select("fp"), parts, wide, thin=False).distinct()
+    a, b = (firsts.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    pairs = written(pairs.join(a, "a").join(b, "b").select("root_a", "root_b"), "alike")
+    asked = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    asked = firsts.join(asked.hint("merge"), "root").select("root", F.col("at.id").alias("id_"), F.col("at.key").alias("key_"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = rows.join(asked.hint("merge"), (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))).select("root", "text")
 
     def step():
-        return lambda batch: pa.record_batch([batch.column(0), pa.array([shingle_set(t, words) for t in as_binary(batch.column(1)).to_pylist()], pa.list_(pa.int64()))], ["doc", "own"])
+        return lambda batch: pa.record_batch([batch.column(0), pa.array([shingle_set(t, words) for t in as_binary(batch.column(1)).to_pylist()], pa.list_(pa.int64()))], ["root", "own"])
 
-    sets = written(map_slices(rows, step, "doc long, own array<bigint>").dropDuplicates(["doc"]), "sets")
-    sa, sb = (sets.select(F.col("doc").alias(f"doc_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
-    both = pairs.join(sa.hint("merge"), "doc_a").join(sb.hint("merge"), "doc_b")
+    sets = written(map_slices(rows, step, "root long, own array<bigint>").dropDuplicates(["root"]), "sets")
+    sa, sb = (sets.select(F.col("root").alias(f"root_{c}"), F.col("own").alias(f"own_{c}")) for c in "ab")
+    both = pairs.join(sa.hint("merge"), "root_a").join(sb.hint("merge"), "root_b")
 
     def compare(batches):
         for batch in batches:
@@ -348,7 +349,37 @@ def similar_documents(
                 good[k] = shared >= similarity * (len(x) + len(y) - shared)
             yield pa.record_batch([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
-    alike = map_batches(both.select("doc_a", "doc_b", "own_a", "own_b"), compare, "a long, b long")
-    roots = components(alike, thin=False)
-    out = base.join(roots.hint("merge"), F.col("component_id") == F.col("node"), "left")
-    return out.select(F.col("id").alias(id_col), "fp", F.coalesce("root", "component_id").alias("component_id"))
+    alike = map_batches(both.select("root_a", "root_b", "own_a", "own_b"), compare, "a long, b long")
+    roots = components(alike, thin=False).select("node", F.col("root").alias("group"))
+    return base, written(firsts.join(roots, F.col("root") == F.col("node"), "left").select("root", "at", F.coalesce("group", "root").alias("group")), "groups")
+
+
+def similar_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = 3,
+    wide: int = 8,
+    similarity: float = 0.8,
+    words: int = 5,
+    **options,
+) -> DataFrame:
+    """(id_col, fp, component_id) as near_duplicates gives it, and classes whose first documents are alike put together.
+
+    First documents of classes are searched within ``wide`` bits, and joined if
+    the Jaccard similarity of their shingle sets, of ``words`` words, is at
+    least ``similarity``. Classes are known by fingerprints, so rows that have
+    no id, or share one, are compared like others.
+    """
+    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, **options)
+    tops = classes.groupBy("group").agg(F.min("at.id").alias("component_id"))
+    named = classes.join(tops, "group").select("root", "component_id")
+    return base.drop("component_id").join(named.hint("merge"), "root").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, wide: int = 8, similarity: float = 0.8, words: int = 5, **options) -> DataFrame:
+    """(id, key, n): the first row of each of similar_documents' components, by id (none is last), then ``text_key``; n: rows that have both."""
+    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, **options)
+    tops = classes.groupBy("group").agg(F.min("at").alias("at")).select("at.id", "at.key")
+    counts = base.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).select(F.col("id").alias("id_"), F.col("key").alias("key_"), "n")
+    return tops.join(counts.hint("merge"), (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))).select("id", "key", "n")
