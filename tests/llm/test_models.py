@@ -106,6 +106,44 @@ def test_quality_edges(spark):
     assert quality.kept(docs.limit(0), both).count() == 0 and quality.kept(docs, none).columns == docs.columns
 
 
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
+    odds = [(i if i % 5 else None, i, i / 100 - 20.0, 15.0 - i / 200) for i in range(5000)]
+    found = quality.confident(spark.createDataFrame(odds, "id long, key long, odds0 double, odds1 double").repartition(4), 0.1, 0.6, 40)
+    by = {(k, y): [key for _, key, kk, yy in found if (kk, yy) == (k, y)] for k in (0, 1) for y in (0, 1)}
+    assert [len(by[x]) for x in ((0, 1), (0, 0), (1, 1), (1, 0))] == [24, 16, 24, 16]
+    assert min(by[0, 1]) >= 4698 and max(by[0, 0]) <= 201 and max(by[1, 1]) <= 301 and min(by[1, 0]) >= 4798
+    # a pool of one document used to teach from one document in expectation, or none; all are looked at whatever the pool
+    schema = "doc_id long, text string, source string, lang string, n_chars long"
+    rows = [(i, ("clear prose here " if i % 2 else "$$ 99 ## ") * (3 + i % 7), "a" if i % 2 else "b", "en", 40 + i) for i in range(200)]
+    seen, plain = [], quality._rounds
+
+    def spied(views, labels, dims, rounds, exchange):
+        return plain(views, labels, dims, rounds, lambda models: seen.append(exchange(models)) or seen[-1])
+
+    quality._rounds = spied
+    try:
+        quality.train(spark.createDataFrame(rows, schema), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), pool=1)
+    finally:
+        quality._rounds = plain
+    assert len(seen) == 3 and all(seen)
+
+
+def test_few_unlabelled_documents_still_teach():
+    def row(k):
+        at = np.arange(10 * k, 10 * k + 4)
+        return at, np.full(4, 0.5, np.float32)
+
+    views = [[row(0), row(1)] * 3] * 2
+    n = []
+    plain = quality._fitted
+    quality._fitted = lambda rows, labels, dim: n.append(len(rows)) or plain(rows, labels, dim)
+    try:
+        quality.co_train(views, np.array([0, 1] * 3), [[row(0), row(1)]] * 2, [60, 60], rounds=1)
+    finally:
+        quality._fitted = plain
+    assert n[-1] > n[0]
+
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 

@@ -4,14 +4,16 @@ The content view is the text's hashed, cased character n-grams, TF-IDF
 weighted with document frequencies over all documents. The metadata view is
 what a page record tells without its wording: source, language, length, and
 layout (lines, their lengths, shares of kinds of characters, repetition).
-Both views start from a sample of labelled documents. In each round, each
-view labels the unlabelled documents it is most confident about and hands
-them to the other view; classes are added in the proportions of the labels.
+Both views start from a sample of labelled documents. In each round, all
+unlabelled documents are scored where they lie, and each view hands those it
+is most confident about, by quantiles over all that are left, to the other
+view; classes are added in the proportions of the labels.
 Held-back labels then calibrate both views (temperature) and fit the
 logistic combination of their log-odds that scores all documents.
 
-Bounded: ``labelled`` and ``pool`` (documents of the labelled sample and of
-the unlabelled pool, drawn by hash). All else covers every document.
+Bounded: ``labelled`` (documents of the labelled sample, drawn by hash) and
+``pool``: a view is taught at most ``share`` of so many documents a round,
+drawn by hash from all confident ones. All else covers every document.
 
 Defined results: a null text is an empty one and its score is the views' own;
 null metadata are a value of their own; labels that repeat are averaged, ties
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .arrowtext import as_binary, map_slices
 from .ftrl import FtrlClassifier, Row
+from .store import written
 
 ORDERS = (1, 2)
 META_BITS = 12
@@ -104,30 +107,88 @@ def _fitted(rows: list[Row], labels: np.ndarray, dim: int, epochs: int = 4) -> F
     return FtrlClassifier(dim, 2).fit(rows, labels, epochs)
 
 
-def co_train(views: list[list[Row]], labels: np.ndarray, pools: list[list[Row]], dims: list[int], rounds: int = 3, share: float = 0.1) -> list[FtrlClassifier]:
-    """Two classifiers that teach each other; views and pools: rows of the labelled and unlabelled documents, by view."""
+def _rounds(views: list[list[Row]], labels: np.ndarray, dims: list[int], rounds: int, exchange) -> list[FtrlClassifier]:
+    """Two classifiers that teach each other: ``exchange(models)`` gives (view, row of that view, label) to learn, or nothing."""
     taught = [(list(v), list(labels)) for v in views]
     models = [_fitted(v, np.array(y), d) for (v, y), d in zip(taught, dims, strict=True)]
-    left = np.arange(len(pools[0]))
-    good = labels.mean()
     for _ in range(rounds):
-        n = int(share * len(pools[0]))
-        if not len(left) or not n:
+        found = exchange(models)
+        if not found:
             break
-        used = set()
+        for other, row, y in found:
+            taught[other][0].append(row)
+            taught[other][1].append(y)
+        models = [_fitted(v, np.array(y), d) for (v, y), d in zip(taught, dims, strict=True)]
+    return models
+
+
+def co_train(views: list[list[Row]], labels: np.ndarray, pools: list[list[Row]], dims: list[int], rounds: int = 3, share: float = 0.1) -> list[FtrlClassifier]:
+    """Co-training in memory; views and pools: rows of the labelled and unlabelled documents, by view."""
+    left = np.arange(len(pools[0]))
+    good = labels.mean()
+    n = max(1, int(share * len(pools[0])))
+
+    def exchange(models):
+        nonlocal left
+        found, used = [], set()
         for k, other in ((0, 1), (1, 0)):
+            if not len(left):
+                break
             odds = _odds(models[k], [pools[k][i] for i in left])
             order = np.argsort(odds, kind="stable")
             best = order[::-1][: max(1, round(n * good))]
             worst = order[: max(1, round(n * (1 - good)))]
             for picks, y in ((best[odds[best] > 0], 1), (worst[odds[worst] < 0], 0)):
-                for i in left[picks].tolist():
-                    taught[other][0].append(pools[other][i])
-                    taught[other][1].append(y)
-                    used.add(i)
+                found += [(other, pools[other][i], y) for i in left[picks].tolist()]
+                used.update(left[picks].tolist())
         left = np.array([i for i in left if i not in used], np.int64)
-        models = [_fitted(v, np.array(y), d) for (v, y), d in zip(taught, dims, strict=True)]
-    return models
+        return found
+
+    return _rounds(views, labels, dims, rounds, exchange)
+
+
+KEY = ["id", "key"]
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, key, text, source, lang, n_chars): key is a hash of all but the id; rows that have both alike are copies."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    return rows.withColumn("key", F.xxhash64("text", *META))
+
+
+def view_odds(rows: DataFrame, idf: np.ndarray, models: list[FtrlClassifier]) -> DataFrame:
+    """(id, key, odds0, odds1) of every keyed row: both views' log-odds."""
+    shared = rows.sparkSession.sparkContext.broadcast(QualityModel(idf, models[0].freeze(), models[1].freeze(), np.zeros(3), None))
+
+    def step():
+        def apply(batch):
+            _, a, b = shared.value.scores(batch.column(2), [batch.column(i).to_pylist() for i in (3, 4, 5)])
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(a), pa.array(b)], ["id", "key", "odds0", "odds1"])
+
+        return apply
+
+    return map_slices(rows.select(*KEY, "text", *META), step, "id long, key long, odds0 double, odds1 double")
+
+
+def confident(odds: DataFrame, share: float, good: float, most: int) -> list[tuple[int | None, int, int, int]]:
+    """(id, key, view, label): for each view and label, rows beyond a quantile of all odds, at most about ``most`` a view.
+
+    The quantiles leave ``share`` of the rows a view, split as the labels are; of more rows than ``most`` hashes decide.
+    """
+    cuts = [share * (1 - good), 1 - share * good]
+    row = odds.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"odds{k}", cuts, 10_000).alias(f"q{k}") for k in (0, 1)]).first()
+    if not row["n"]:
+        return []
+    size = min(most, max(1, int(share * row["n"])))
+    found = []
+    for k in (0, 1):
+        low, high = row[f"q{k}"]
+        x = F.col(f"odds{k}")
+        for y, beyond, part in ((1, (x > 0) & (x >= high), good), (0, (x < 0) & (x <= low), 1 - good)):
+            # copies are one, and a quantile that ties take in is drawn from like any other
+            drawn = odds.where(beyond).select(*KEY).distinct().orderBy(F.xxhash64(*KEY, F.lit(k)), *KEY).limit(max(1, round(size * part)))
+            found += [(r["id"], r["key"], k, y) for r in drawn.collect()]
+    return found
 
 
 def _combined(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -145,7 +206,7 @@ def _combined(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(w, [0, 0, -np.inf])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = 4000, pool: int = 2000, rounds: int = 3) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = 4000, pool: int = 2000, rounds: int = 3, share: float = 0.1) -> QualityModel:
     spark = docs.sparkSession
     known = labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.avg(label_col).alias("y")).where("id is not null and y is not null and y <> 0.5")
     known = known.select("id", (F.col("y") > 0.5).cast("int").alias("y"))
@@ -159,24 +220,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     quota = {y: min(1.0, labelled / 2 / n) for y, n in tally.items()}
     chosen = known.where(draw < F.when(F.col("y") == 1, int(quota[1] * (1 << 30))).otherwise(int(quota[0] * (1 << 30))))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    rows = keyed(docs, id_col)
     chosen = spark.createDataFrame(chosen.collect(), "id long, y int")  # about ``labelled`` rows of 12 bytes
-    pooled = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30)) < int(min(1.0, pool / max(1, total)) * (1 << 30))
-    picked = rows.join(F.broadcast(chosen), "id", "left").where(F.col("y").isNotNull() | pooled)
-    sample = _viewed(picked).collect()
-    sample.sort(key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"] or 0))
-    content = [(np.array(r["buckets"], np.int64), ngrams.tfidf(np.array(r["buckets"], np.int64), np.array(r["counts"]), idf)) for r in sample]
-    meta = [(np.array(r["meta"], np.int64), np.full(len(r["meta"]), 1 / np.sqrt(max(1, len(r["meta"]))), np.float32)) for r in sample]
-    own = np.array([i for i, r in enumerate(sample) if r["y"] is not None])
-    free = [i for i, r in enumerate(sample) if r["y"] is None]
-    if len({sample[i]["y"] for i in own.tolist()}) < 2:
+    sample = _viewed(rows.join(F.broadcast(chosen), "id")).collect()
+    sample.sort(key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"] or 0, r["key"]))
+    as_rows = lambda found: [  # noqa: E731  the rows of both views
+        [(np.array(r["buckets"], np.int64), ngrams.tfidf(np.array(r["buckets"], np.int64), np.array(r["counts"]), idf)) for r in found],
+        [(np.array(r["meta"], np.int64), np.full(len(r["meta"]), 1 / np.sqrt(max(1, len(r["meta"]))), np.float32)) for r in found],
+    ]
+    content, meta = as_rows(sample)
+    own = np.arange(len(sample))
+    if len({r["y"] for r in sample}) < 2:
         return QualityModel(idf, (None, None), (None, None), None, tally.get(1, 0) / sum(tally.values()))
     held = own[np.arange(len(own)) % 4 == 3]
     taught = own[np.arange(len(own)) % 4 != 3]
-    y = np.array([r["y"] if r["y"] is not None else -1 for r in sample])
+    y = np.array([r["y"] for r in sample])
     pick = lambda view, at: [view[i] for i in at]
     dims = [len(idf), 1 << META_BITS]
-    models = co_train([pick(content, taught), pick(meta, taught)], y[taught], [pick(content, free), pick(meta, free)], dims, rounds)
+    free = rows.join(F.broadcast(chosen.select("id")), "id", "left_anti")
+    used = set()
+
+    def exchange(models):
+        odds = written(view_odds(free, idf, models), "odds")
+        if used:
+            odds = odds.join(F.broadcast(_keys(spark, used)), [odds[c].eqNullSafe(F.col(c + "_")) for c in KEY], "left_anti")
+        found = confident(odds, share, float(y[taught].mean()), max(1, int(share * pool)))
+        if not found:
+            return []
+        keys = {f[:2] for f in found}
+        used.update(keys)
+        asked = free.join(F.broadcast(_keys(spark, keys)), [free[c].eqNullSafe(F.col(c + "_")) for c in KEY], "left_semi").dropDuplicates(KEY)
+        got = sorted(_viewed(asked.withColumn("y", F.lit(None).cast("int"))).collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["key"]))
+        at = {(r["id"], r["key"]): i for i, r in enumerate(got)}
+        views = as_rows(got)
+        return [(1 - k, views[1 - k][at[i, key]], label) for i, key, k, label in found]
+
+    models = _rounds([pick(content, taught), pick(meta, taught)], y[taught], dims, rounds, exchange)
     for model, view in zip(models, (content, meta), strict=True):
         model.calibrate(pick(view, held), y[held])
     combination = _combined(_odds(models[0], pick(content, held)), _odds(models[1], pick(meta, held)), y[held])
@@ -186,21 +265,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     return QualityModel(idf, models[0].freeze(), models[1].freeze(), combination, None)
 
 
+def _keys(spark, keys: set) -> DataFrame:
+    return spark.createDataFrame(sorted(keys, key=lambda x: (x[0] is None, x[0] or 0, x[1])), "id_ long, key_ long")
+
+
 def _viewed(rows: DataFrame) -> DataFrame:
-    """(id, y, buckets, counts, meta): both views of sampled rows."""
-    schema = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
+    """(id, key, y, buckets, counts, meta): both views of sampled rows."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("y", pa.int32()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
 
     def step():
         def apply(batch):
-            ids, text, source, lang, chars, y = (batch.column(i) for i in range(6))
+            ids, key, text, source, lang, chars, y = (batch.column(i) for i in range(7))
             both = list(ngrams.counts(text, ORDERS, lower=False))
             meta = [meta_row(*r)[0].astype(np.int32) for r in zip(as_binary(text).to_pylist(), source.to_pylist(), lang.to_pylist(), chars.to_pylist(), strict=True)]
             lists = [pa.array(x, pa.list_(pa.int32())) for x in ([a.astype(np.int32) for a, _ in both], [n.astype(np.int32) for _, n in both], meta)]
-            return pa.record_batch([ids, y.cast(pa.int32()), *lists], schema=schema)
+            return pa.record_batch([ids, key, y.cast(pa.int32()), *lists], schema=schema)
 
         return apply
 
-    return map_slices(rows.select("id", "text", "source", "lang", "n_chars", "y"), step, "id long, y int, buckets array<int>, counts array<int>, meta array<int>")
+    return map_slices(rows.select("id", "key", "text", "source", "lang", "n_chars", "y"), step, "id long, key long, y int, buckets array<int>, counts array<int>, meta array<int>")
 
 
 def scored(docs: DataFrame, model: QualityModel, columns: list[str] | None = None) -> DataFrame:
