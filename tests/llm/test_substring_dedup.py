@@ -93,3 +93,17 @@ def test_tuning_and_empty_table(spark):
     assert sd.summary(spark.createDataFrame([], SCHEMA)).count() == 0
     got = sd.summary(spark.createDataFrame([(1, None, ""), (None, "a b " * 30, ""), (1, "", "")], SCHEMA)).collect()
     assert len(got) == 3 and not any(r["classes"] for r in got)
+
+
+def test_passages_of_short_lines_are_found(spark):
+    rng = random.Random(4)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    verse = "\n".join(" ".join(fresh(9)) for _ in range(12))
+    spaced = "\n\n".join(" ".join(fresh(7)) for _ in range(12))
+    mixed = "\n".join(" ".join(fresh(n)) for n in (22, 8, 22))
+    docs = {10 * k + i: " ".join(fresh(30)) + "\n" + x + "\n" + " ".join(fresh(40)) for k, x in enumerate((verse, spaced, mixed)) for i in (1, 2)}
+    got = {r["doc_id"]: r for r in sd.summary(spark.createDataFrame(rows(docs), SCHEMA)).collect()}
+    assert {i: r["classes"] for i, r in got.items()} == {1: [1], 2: [1], 11: [11], 12: [11], 21: [21], 22: [21]}
+    assert got[2]["removed_words"] >= 80 and got[12]["removed_words"] == 84 and got[22]["removed_words"] == 52
+    p = sd.paragraphs(pa.array([verse, spaced, mixed, "a b\n\nc d e"]), sd.Settings())
+    assert [int(p.words[p.text == k].sum()) for k in range(4)] == [108, 84, 52, 5]

@@ -17,8 +17,9 @@ paragraphs are cut into blocks and dealt out as pairs of blocks; tasks hand on
 spanning forests of the links they find. Nothing is capped.
 
 Defined results: words are runs of anything but ASCII white space with A-Z
-lower-cased; lines of fewer than ``min_line`` words are never compared; null
-and empty texts have no paragraphs; null ids are compared as the least id;
+lower-cased; lines of fewer than ``min_line`` words make a block with the
+short lines next to them, up to a blank line, and are divided together; texts
+of fewer than five words have no paragraphs; null ids are compared as the least id;
 rows that repeat an id are the same document, so that places meet; other
 columns are not looked at; an empty table gives an empty result.
 """
@@ -84,7 +85,6 @@ class Paragraphs:
     shingles: np.ndarray  # hashes of all shingles of all paragraphs
     first: np.ndarray  # where each paragraph's shingles begin
     per_text: np.ndarray
-    adjacent: np.ndarray  # whether it follows the paragraph before it in the same line or the next
 
 
 def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
@@ -95,6 +95,13 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
     sizes = np.diff(at)
     n_texts = len(column)
     text_of_line = np.repeat(np.arange(n_texts), np.diff(line_at))
+    if len(sizes):  # from here on, short lines next to each other are one line
+        alone = (sizes >= s.min_line) | (sizes == 0)
+        joins = np.zeros(len(sizes), bool)
+        joins[1:] = ~alone[1:] & ~alone[:-1] & (text_of_line[1:] == text_of_line[:-1])
+        heads = np.flatnonzero(~joins)
+        line_at = np.append((np.cumsum(~joins) - 1)[line_at[:-1]], len(heads))
+        sizes, at, text_of_line = np.add.reduceat(sizes, heads), np.append(at[heads], at[-1]), text_of_line[heads]
     own = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
     h = own[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
     # lines with radius empty places between them, which no word pair is less than
@@ -117,7 +124,7 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
     starts &= (offset >= s.radius) & (to_end >= s.radius)
     starts |= offset == 0
     begin = np.flatnonzero(starts)
-    begin = begin[sizes[line_of[begin]] >= s.min_line]
+    begin = begin[np.bincount(text_of_line, sizes, n_texts)[text_of_line[line_of[begin]]] >= SHINGLE] if len(begin) else begin
     line = line_of[begin]
     stop = np.append(begin[1:], 0)
     last = np.ones(len(begin), bool)
@@ -128,8 +135,6 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
     number = np.arange(len(text)) - np.maximum.accumulate(np.where(heads, np.arange(len(text)), 0)) if len(text) else text
     size = stop - begin
     text_first = at[line_at[:-1]] if n_texts else np.zeros(0, np.int64)
-    adjacent = np.zeros(len(begin), bool)
-    adjacent[1:] = (begin[1:] == stop[:-1]) & ~heads[1:]
     # shingles of SHINGLE words that lie within a paragraph; of fewer words, the paragraph is one
     if len(h):
         padded = np.concatenate([h, np.zeros(SHINGLE, np.uint64)])
@@ -149,7 +154,7 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
         flat = np.repeat(begin - flat_first, size) + np.arange(size.sum())
         position = (flat - np.repeat(begin, size)).astype(np.uint64)
         content = _mixed(np.add.reduceat(_mixed(h[flat] + position * np.uint64(0xA24BAED4963EE407), 3), flat_first) + size.astype(np.uint64), 5)
-    return Paragraphs(text, number, size, begin - text_first[text] if len(begin) else begin, content, shingles, first, np.bincount(text, minlength=n_texts), adjacent)
+    return Paragraphs(text, number, size, begin - text_first[text] if len(begin) else begin, content, shingles, first, np.bincount(text, minlength=n_texts))
 
 
 def _doc_ids(column: pa.Array) -> np.ndarray:
@@ -326,16 +331,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", set
             p = paragraphs(batch.column(1), s)
             if not len(p.content):
                 return None
-            columns = [_doc_ids(batch.column(0))[p.text], p.number.astype(np.int32), p.start.astype(np.int32), p.words.astype(np.int32), p.adjacent, p.content.view(np.int64)]
-            return pa.record_batch([pa.array(x) for x in columns], ["doc_", "unit_", "start", "words", "adjacent", "c"])
+            columns = [_doc_ids(batch.column(0))[p.text], p.number.astype(np.int32), p.start.astype(np.int32), p.words.astype(np.int32), p.content.view(np.int64)]
+            return pa.record_batch([pa.array(x) for x in columns], ["doc_", "unit_", "start", "words", "c"])
 
         return apply
 
-    units = map_slices(rows, step, "doc_ long, unit_ int, start int, words int, adjacent boolean, c long")
-    hits = units.join(known.hint("merge"), "c").select("doc_", "unit_", "start", "words", "adjacent", "doc", "unit")
+    units = map_slices(rows, step, "doc_ long, unit_ int, start int, words int, c long")
+    hits = units.join(known.hint("merge"), "c").select("doc_", "unit_", "start", "words", "doc", "unit")
     by_doc = "partition by doc_ order by unit_"
-    # a run ends where a paragraph is missing or not next to the one before
-    runs = hits.withColumn("opens", F.expr(f"if(adjacent and coalesce(lag(unit_) over ({by_doc}) = unit_ - 1, false), 0, 1)"))
+    # a run ends where a paragraph is missing
+    runs = hits.withColumn("opens", F.expr(f"if(coalesce(lag(unit_) over ({by_doc}) = unit_ - 1, false), 0, 1)"))
     runs = runs.withColumn("run", F.expr(f"sum(opens) over ({by_doc})")).withColumn("length", F.expr("sum(words) over (partition by doc_, run)"))
     removed = (F.col("doc") < F.col("doc_")) | ((F.col("doc") == F.col("doc_")) & (F.col("unit") < F.col("unit_")))
     return runs.where(F.col("length") >= s.min_run).select(F.col("doc_").alias("id"), F.col("unit_").alias("unit"), "start", "words", F.col("doc").alias("class_doc"), F.col("unit").alias("class_unit"), removed.alias("removed"))
