@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
 from tidemill.llm import substring_dedup as sd
@@ -106,4 +107,32 @@ def test_passages_of_short_lines_are_found(spark):
     assert {i: r["classes"] for i, r in got.items()} == {1: [1], 2: [1], 11: [11], 12: [11], 21: [21], 22: [21]}
     assert got[2]["removed_words"] >= 80 and got[12]["removed_words"] == 84 and got[22]["removed_words"] == 52
     p = sd.paragraphs(pa.array([verse, spaced, mixed, "a b\n\nc d e"]), sd.Settings())
-    assert [int(p.words[p.text == k].sum()) for k in range(4)] == [108, 84, 52, 5]
+    assert [int(p.words[(p.text == k) & (p.parts == 0)].sum()) for k in range(4)] == [108, 84, 52, 5]
+
+
+def test_paragraphs_with_a_changed_word_are_near_duplicates(spark):
+    rng = random.Random(12)
+    fresh = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs = {}
+    for k in range(40):  # 51 of 61 shingles are the same
+        line = fresh(60)
+        for i, w in enumerate((line, line[:30] + ["other"] + line[31:])):
+            docs[2 * k + i] = " ".join(fresh(20)) + "\n" + " ".join(w) + "\n" + " ".join(fresh(20))
+    got = {r["doc_id"]: r for r in sd.summary(spark.createDataFrame(rows(docs), SCHEMA)).collect()}
+    # bands find at least 0.99 of the pairs, not all
+    whole = [i for i in docs if got[i]["removed_words"] == (60 if i % 2 else 0) and got[i]["classes"] == [i // 2 * 2]]
+    assert len(whole) >= 78 and {i for i in docs if i % 2 == 0} <= set(whole)
+    kept = {r["doc_id"]: r["text"] for r in sd.without_repeats(spark.createDataFrame(rows(docs), SCHEMA)).collect()}
+    assert all(len(kept[i].split()) == (40 if i % 2 else 100) for i in whole)
+
+
+def test_a_line_stands_before_its_parts():
+    rng = random.Random(3)
+    line = " ".join(str(rng.random()) for _ in range(90))
+    p = sd.paragraphs(pa.array(["x y z a b c d e f g h i\n" + line, "", line]), sd.Settings())
+    for t in (0, 2):
+        own = np.flatnonzero(p.text == t)
+        assert p.number[own].tolist() == list(range(len(own))) and p.words[own][p.parts[own] == 0].sum() == (102, 0, 90)[t]
+        assert p.part[own][p.parts[own] == 0].tolist() == list(range((p.parts[own] == 0).sum()))
+        (k,) = own[p.parts[own] > 0]
+        assert p.words[k] == 90 and p.part[k] == p.part[k + 1] and p.words[k + 1 : k + 1 + p.parts[k]].sum() == 90

@@ -3,13 +3,18 @@
 Lines are divided into paragraphs where the hash of a word pair is the least
 within ``radius`` words. That depends on nothing further away, so a passage
 that recurs inside other text brings the same paragraphs with it, but for its
-edges. Paragraphs are MinHashed over shingles of five words; the number and
-width of bands is tuned for recall at the threshold. Colliding paragraphs are
-verified by the exact Jaccard similarity of their shingle sets, and the links
+edges. A line or block of lines that is divided is a paragraph of its own as
+well, before its parts, so that near-copies of it meet as a whole; what its
+component says holds for all its parts. Paragraphs are MinHashed over shingles of five words; the number and
+width of bands is tuned for recall at the threshold. Lines and blocks
+have bands of their own, so one that is divided is not compared with a part of
+another. Colliding paragraphs are verified by the exact Jaccard similarity of their shingle sets, and the links
 found make components, of which those that span documents count. Of each
 component the first paragraph (least document,
 then place) stays; the others are removed where they are part of a run of
-repeated paragraphs of at least ``min_run`` words.
+repeated paragraphs of at least ``min_run`` words. A run goes on behind up to
+two paragraphs that are not repeated, if what is repeated around them goes on
+in the same first document.
 
 Paragraphs of equal words are one node (a 64-bit key) and are reduced to one
 row a band, batch by batch, before they are shuffled. Buckets of many distinct
@@ -43,10 +48,10 @@ SHINGLE = 5
 NO_ID = -(1 << 63)
 
 
-def tuned(threshold: float, recall: float, most: int = 8) -> tuple[int, int]:
+def tuned(threshold: float, recall: float, most: int = 8, least: int = 1) -> tuple[int, int]:
     """(bands, rows): the fewest bands, then the most rows, that find pairs at the threshold with the recall."""
     for bands in range(1, 200):
-        for rows in range(most, 0, -1):
+        for rows in range(most, least - 1, -1):
             if 1 - (1 - threshold**rows) ** bands >= recall:
                 return bands, rows
     raise ValueError("no banding has that recall")
@@ -85,6 +90,9 @@ class Paragraphs:
     shingles: np.ndarray  # hashes of all shingles of all paragraphs
     first: np.ndarray  # where each paragraph's shingles begin
     per_text: np.ndarray
+    part: np.ndarray  # number among the undivided paragraphs of the text; of a divided one, its first part's
+    parts: np.ndarray  # 0 if undivided
+    natural: np.ndarray  # whether it is a line or block, divided or not
 
 
 def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
@@ -130,9 +138,23 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
     last = np.ones(len(begin), bool)
     last[:-1] = line[1:] != line[:-1]
     stop = np.where(last, at[1:][line], stop) if len(begin) else begin
+    # divided lines stand as a whole before their parts
+    turn = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else line
+    k = np.diff(np.append(turn, len(line)))
+    single = np.zeros(len(begin), bool)
+    single[turn[k == 1]] = True
+    turn, k = turn[k > 1], k[k > 1]
+    ordinal = np.arange(len(begin))
+    parts = np.concatenate([np.zeros(len(begin), np.int64), k])
+    place = np.concatenate([ordinal, turn])
+    stop = np.concatenate([stop, stop[turn + k - 1]])
+    order = np.lexsort((parts == 0, place))
+    place, parts, stop = place[order], parts[order], stop[order]
+    begin, line, natural = begin[place], line[place], (parts > 0) | single[place]
     text = text_of_line[line]
     heads = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
     number = np.arange(len(text)) - np.maximum.accumulate(np.where(heads, np.arange(len(text)), 0)) if len(text) else text
+    part = place - place[np.arange(len(text)) - number]
     size = stop - begin
     text_first = at[line_at[:-1]] if n_texts else np.zeros(0, np.int64)
     # shingles of SHINGLE words that lie within a paragraph; of fewer words, the paragraph is one
@@ -154,7 +176,7 @@ def paragraphs(column: pa.Array, s: Settings) -> Paragraphs:
         flat = np.repeat(begin - flat_first, size) + np.arange(size.sum())
         position = (flat - np.repeat(begin, size)).astype(np.uint64)
         content = _mixed(np.add.reduceat(_mixed(h[flat] + position * np.uint64(0xA24BAED4963EE407), 3), flat_first) + size.astype(np.uint64), 5)
-    return Paragraphs(text, number, size, begin - text_first[text] if len(begin) else begin, content, shingles, first, np.bincount(text, minlength=n_texts))
+    return Paragraphs(text, number, size, begin - text_first[text] if len(begin) else begin, content, shingles, first, np.bincount(text, minlength=n_texts), part, parts, natural)
 
 
 def _doc_ids(column: pa.Array) -> np.ndarray:
@@ -162,8 +184,12 @@ def _doc_ids(column: pa.Array) -> np.ndarray:
 
 
 def banded(docs: DataFrame, s: Settings) -> DataFrame:
-    """(band, c, doc, unit, last, n, main): for each distinct paragraph of a batch and each band, its key, first place, last document and number; main: the first band."""
-    bands, rows = tuned(s.threshold, s.recall)
+    """(band, c, doc, unit, last, n, main, links): for each distinct paragraph of a batch and each band, its key, first place, last document and number.
+
+    Undivided paragraphs have bands of their own, lines and blocks have others, of more rows: long paragraphs share
+    some shingle with too many. main: the first band, where all are counted; links: whether it meets others there.
+    """
+    kinds = [tuned(s.threshold, s.recall), tuned(s.threshold, s.recall, 3, 3)]
 
     def step():
         def apply(batch):
@@ -175,23 +201,28 @@ def banded(docs: DataFrame, s: Settings) -> DataFrame:
             heads = np.flatnonzero(np.concatenate([[True], np.diff(p.content[order]) != 0]))
             pick, n = order[heads], np.diff(np.append(heads, len(order)))
             last = np.maximum.reduceat(doc[order], heads)
-            out = []
-            for b in range(bands):
-                key = np.full(len(p.content), b, np.uint64)
-                for r in range(rows):
-                    key = _mixed(key ^ np.minimum.reduceat(_mixed(p.shingles, 100 + b * rows + r), p.first), 1)
-                out.append(key[pick])
-            k = len(pick)
-            main = np.zeros(k * bands, bool)
-            main[:k] = True
+            whole = np.logical_or.reduceat(p.natural[order], heads)
+            plain = np.logical_or.reduceat((p.parts == 0)[order], heads)
+            out, salt = [], 0
+            for kind, (own, (bands, rows)) in enumerate(zip((plain, whole), kinds, strict=True)):
+                for b in range(bands):
+                    key = np.full(len(p.content), salt, np.uint64)
+                    for r in range(rows):
+                        key = _mixed(key ^ np.minimum.reduceat(_mixed(p.shingles, 100 + salt), p.first), 1)
+                        salt += 1
+                    main = not kind and not b
+                    at = np.flatnonzero(own | main)
+                    out.append((key[pick[at]].view(np.int64), at, np.full(len(at), main), own[at]))
+            key, at, main, links = (np.concatenate(x) for x in zip(*out, strict=True))
+            first = pick[at]
             return pa.record_batch(
-                [np.concatenate(out).view(np.int64), np.tile(p.content[pick].view(np.int64), bands), np.tile(doc[pick], bands), np.tile(p.number[pick].astype(np.int32), bands), np.tile(last, bands), np.tile(n.astype(np.int32), bands), main],
-                ["band", "c", "doc", "unit", "last", "n", "main"],
+                [key, p.content[first].view(np.int64), doc[first], p.number[first].astype(np.int32), last[at], n[at].astype(np.int32), main, links],
+                ["band", "c", "doc", "unit", "last", "n", "main", "links"],
             )
 
         return apply
 
-    return map_slices(docs, step, "band long, c long, doc long, unit int, last long, n int, main boolean", budget=8 << 20)
+    return map_slices(docs, step, "band long, c long, doc long, unit int, last long, n int, main boolean, links boolean", budget=8 << 20)
 
 
 def collided(rows: DataFrame, partitions: int) -> DataFrame:
@@ -199,14 +230,15 @@ def collided(rows: DataFrame, partitions: int) -> DataFrame:
     dealt = rows.repartition(partitions, "band").sortWithinPartitions("band", "c", "doc", "unit")
 
     def found(cols):
-        band, c, doc, unit, last, n, main = cols
+        band, c, doc, unit, last, n, main, links = cols
         new = np.concatenate([[True], (band[1:] != band[:-1]) | (c[1:] != c[:-1])])
         heads = np.flatnonzero(new)
         total = np.add.reduceat(n.astype(np.int64), heads)
         last = np.maximum.reduceat(last, heads)
+        links = np.logical_or.reduceat(links, heads)
         band, c, doc, unit, main = (x[heads] for x in (band, c, doc, unit, main))
         groups = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-        shared = np.repeat(np.diff(np.append(groups, len(band))) > 1, np.diff(np.append(groups, len(band))))
+        shared = links & np.repeat(np.add.reduceat(links.astype(np.int64), groups) > 1, np.diff(np.append(groups, len(band))))
         again = main & (total > 1)
         for keep, key in ((shared, pa.array(band[shared], pa.int64())), (again, pa.nulls(int(again.sum()), pa.int64()))):
             if keep.any():
@@ -215,7 +247,7 @@ def collided(rows: DataFrame, partitions: int) -> DataFrame:
     def run(batches):
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
@@ -331,19 +363,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", set
             p = paragraphs(batch.column(1), s)
             if not len(p.content):
                 return None
-            columns = [_doc_ids(batch.column(0))[p.text], p.number.astype(np.int32), p.start.astype(np.int32), p.words.astype(np.int32), p.content.view(np.int64)]
-            return pa.record_batch([pa.array(x) for x in columns], ["doc_", "unit_", "start", "words", "c"])
+            # of each paragraph, the places and words of its undivided parts
+            whole = np.flatnonzero(p.parts == 0)
+            before = np.cumsum(p.parts == 0) - (p.parts == 0)
+            count = np.maximum(1, p.parts)
+            cuts = np.append(0, np.cumsum(count))
+            own = whole[np.repeat(before - cuts[:-1], count) + np.arange(cuts[-1])]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[own], pa.int32())) for x in (p.start, p.words)]
+            columns = [_doc_ids(batch.column(0))[p.text], p.number.astype(np.int32), p.part.astype(np.int32), *lists, p.content.view(np.int64)]
+            return pa.record_batch([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], ["doc_", "place", "part", "starts", "sizes", "c"])
 
         return apply
 
-    units = map_slices(rows, step, "doc_ long, unit_ int, start int, words int, c long")
-    hits = units.join(known.hint("merge"), "c").select("doc_", "unit_", "start", "words", "doc", "unit")
-    by_doc = "partition by doc_ order by unit_"
-    # a run ends where a paragraph is missing
-    runs = hits.withColumn("opens", F.expr(f"if(coalesce(lag(unit_) over ({by_doc}) = unit_ - 1, false), 0, 1)"))
+    units = map_slices(rows, step, "doc_ long, place int, part int, starts array<int>, sizes array<int>, c long")
+    hits = units.join(known.hint("merge"), "c").select("doc_", "place", "part", "doc", "unit", F.posexplode(F.arrays_zip("starts", "sizes")).alias("i", "x"))
+    keeps = ~((F.col("doc") < F.col("doc_")) | ((F.col("doc") == F.col("doc_")) & (F.col("unit") < F.col("place"))))
+    hits = hits.select("doc_", (F.col("part") + F.col("i")).alias("unit_"), F.col("x.starts").alias("start"), F.col("x.sizes").alias("words"), F.struct(keeps.alias("keeps"), "doc", "unit").alias("at"))
+    # what a part and the line that it is of say: it goes if either goes
+    hits = hits.repartition(partitions_for(docs), "doc_").groupBy("doc_", "unit_", "start", "words").agg(F.min("at").alias("at"))
+    hits = hits.select("doc_", "unit_", "start", "words", "at.doc", "at.unit", (~F.col("at.keeps")).alias("removed"))
+    by_doc = "partition by doc_ order by unit_, start"
+    last = lambda x: f"lag({x}) over ({by_doc})"
+    on = f"{last('unit_')} >= unit_ - 1 or ({last('unit_')} >= unit_ - 3 and {last('doc')} = doc and unit - {last('unit')} between 1 and 6)"
+    runs = hits.withColumn("opens", F.expr(f"if(coalesce({on}, false), 0, 1)"))
     runs = runs.withColumn("run", F.expr(f"sum(opens) over ({by_doc})")).withColumn("length", F.expr("sum(words) over (partition by doc_, run)"))
-    removed = (F.col("doc") < F.col("doc_")) | ((F.col("doc") == F.col("doc_")) & (F.col("unit") < F.col("unit_")))
-    return runs.where(F.col("length") >= s.min_run).select(F.col("doc_").alias("id"), F.col("unit_").alias("unit"), "start", "words", F.col("doc").alias("class_doc"), F.col("unit").alias("class_unit"), removed.alias("removed"))
+    return runs.where(F.col("length") >= s.min_run).select(F.col("doc_").alias("id"), F.col("unit_").alias("unit"), "start", "words", F.col("doc").alias("class_doc"), F.col("unit").alias("class_unit"), "removed")
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
