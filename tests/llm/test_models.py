@@ -165,41 +165,112 @@ def test_base_scores_and_known_tokens(spark):
     counts = Counter(w for i, t, _ in rows if not held(i) for w in tokens(t))
     n, v = sum(counts.values()), len(counts)
     want = sorted((-1 if i is None else i, len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t, _ in rows)
-    for head, classes in ((65_536, 1022), (10, 4), (0, 0)):
-        model = lm_scoring.train(df, ~q._held_out(7), head=head, classes=classes)
+    for head, singles, endings in ((65_023, 511, 512), (10, 4, 3), (0, 0, 1)):
+        model = lm_scoring.train(df, ~q._held_out(7), head=head, singles=singles, endings=endings)
         assert (model.total, model.distinct) == (n, v)
         got = lm_scoring.score(df, model).collect()
         assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in got) == want
         assert all(r["score"] < 0 for r in got)
 
 
+def plain_probabilities(model, context, words_):
+    """ln of each word's probability behind two words, factor by factor, with sums over all kinds and members."""
+    p, coder, first = model.lbl.params, model.coder, model.coder.first
+    head = {w: i for i, w in enumerate(coder.head.to_pylist())}
+    counts = {r["word"]: r["n"] for r in model.vocabulary.collect()}
+    ending = lambda w: zlib.crc32(w.encode()[-3:]) % coder.endings
+
+    def kind(w):
+        return 0 if w is None else 1 + head[w] if head.get(w, 1 << 60) < coder.singles else first + ending(w)
+
+    members = {c: sorted((i, w) for w, i in head.items() if i >= coder.singles and ending(w) == c) for c in range(coder.endings)}
+    one, two = (kind(w) for w in context)
+    kinds = [float(np.float64(p["R1"][one] + p["R2"][two]) @ np.float64(p["Q"][k]) + p["b"][k]) for k in range(coder.kinds)]
+    out = []
+    for w in words_:
+        k = kind(w)
+        x = kinds[k] - math.log(sum(map(math.exp, kinds)))
+        if k >= first:
+            own = [m for _, m in members[k - first]]
+            start = int(coder.starts[k - first])
+            scores = [float(np.float64(p["S"][one]) @ np.float64(p["M"][u, :-1]) + p["M"][u, -1]) for u in range(start, start + len(own) + 1)]
+            x += scores[own.index(w) if w in own else len(own)] - math.log(sum(map(math.exp, scores)))
+            if w not in own:
+                others = [n for v, n in counts.items() if v not in head and ending(v) == k - first]
+                x += math.log((counts.get(w, 0) + 1) / (sum(others) + len(others) + 1))
+        out.append(x)
+    return out
+
+
+def test_scores_are_sums_of_plain_probabilities(spark):
+    df = spark.createDataFrame(lm_case(), "doc_id long, text string, score int")
+    model = lm_scoring.train(df, ~q._held_out(7), head=30, singles=5, endings=7)
+    texts = {i: t for i, t, _ in lm_case()}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(df, model).collect()}
+    for i in (0, 1, 2, 3, 500, 501, 502, None):
+        own = [None, None, *tokens(texts[i])]
+        want = sum(plain_probabilities(model, (own[k + 1], own[k]), [own[k + 2]])[0] for k in range(len(own) - 2)) / math.log(10)
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))
+
+
 def test_probabilities_are_normalised(spark):
     df = spark.createDataFrame(lm_case(), "doc_id long, text string, score int")
-    model = lm_scoring.train(df, ~q._held_out(7), classes=20)
-    a, b, z = model.lbl.tables()
-    for i, j in ((0, 0), (1, 5), (7, 2)):
-        assert abs(np.exp((a[i] + b[j]).astype(float) - z[i, j]).sum() - 1) < 1e-4
-    own = set(model.coder.head.to_pylist()[:20])
-    others = [r["n"] for r in model.vocabulary.collect() if r["word"] not in own]
-    share = model.coder.counts[: model.coder.classes].sum() + model.ends
-    left = model.total - share
-    assert left == sum(others)
-    assert abs(sum(n + 1 for n in others) + 1 - (left + len(others) + 1)) == 0
-
-
-def test_model_learns_order(spark):
+    model = lm_scoring.train(df, ~q._held_out(7), head=30, singles=5, endings=7)
+    all_words = [None, *[r["word"] for r in model.vocabulary.collect()]]
+    # a word never met for each class stands for all of its class
+    new = {}
+    for i in range(1000):
+        new.setdefault(zlib.crc32(f"_{i}".encode()[-3:]) % 7, f"_{i}")
+    for context in ((None, None), ("the", None), ("of", "r5"), ("never", "met")):
+        assert abs(sum(map(math.exp, plain_probabilities(model, context, [*all_words, *new.values()]))) - 1) < 1e-4
+
+
+def chained(n):
     rng = random.Random(1)
     texts = []
-    for _ in range(400):
+    for _ in range(n):
         t, w = [], rng.choice("abcdefgh")
         for _ in range(60):
             t.append(w)
             w = "abcdefgh"[("abcdefgh".index(w) + (1 if rng.random() < 0.9 else rng.randrange(8))) % 8]
         texts.append(" ".join(t))
-    df = spark.createDataFrame(list(enumerate(texts * 8)), "doc_id long, text string").coalesce(2)
-    model = lm_scoring.train(df, ~q._held_out(7), classes=20)
-    r = lm_scoring.score(df, model).selectExpr("sum(score)/sum(n_tokens) s", "sum(base_score)/sum(n_tokens) b").first()
-    assert r["s"] > r["b"] + 0.2
+    return texts
+
+
+def test_model_learns_order_at_any_layout(spark):
+    df = spark.createDataFrame(list(enumerate(chained(400) * 8)), "doc_id long, text string")
+    found = []
+    for parts, options in ((1, {}), (64, {}), (64, {"shard_tokens": 40_000}), (3, {"shard_tokens": 40_000})):
+        own = df.repartition(parts)
+        model = lm_scoring.train(own, ~q._held_out(7), **options)
+        r = lm_scoring.score(own.where(q._held_out(7)), model).selectExpr("sum(score) / sum(n_tokens) s", "sum(base_score) / sum(n_tokens) b").first()
+        found.append((r["s"], r["s"] - r["b"]))
+    assert abs(found[0][0] - found[1][0]) < 1e-6 and abs(found[2][0] - found[3][0]) < 1e-4
+    assert all(gain > 0.4 for _, gain in found) and found[3][1] > 0.9 * found[0][1]
+
+
+def test_members_of_a_class_follow_their_context(spark):
+    rng = random.Random(2)
+    left, right = [f"l{i}xyz" for i in range(20)], [f"r{i}xyz" for i in range(20)]  # one ending, so one class
+    texts = [" ".join(x for _ in range(30) for x in (("in", rng.choice(left)) if rng.random() < 0.5 else ("out", rng.choice(right)))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train(df, ~q._held_out(7), singles=2)
+    near, far = plain_probabilities(model, ("in", None), [left[0], right[0]])
+    assert near > far + 1 and sum(plain_probabilities(model, ("out", None), [right[0], left[0]])) != near + far
+
+
+def test_head_takes_the_most_frequent_words(spark):
+    counts = {f"w{i}": 1 + i // 50 for i in range(1000)}
+    df = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3)
+    for most in (0, 1, 37, 120, 975, 2000):
+        names, n = lm_scoring.frequent(df, most)
+        assert sorted(n.tolist(), reverse=True) == n.tolist() == sorted(counts.values(), reverse=True)[:most] and len(set(names)) == len(names)
+
+
+def test_repeated_rows_are_weights(spark):
+    df = spark.createDataFrame([(3, "a b c d")] * 5000 + [(2, "b a")] * 3, "doc_id long, text string")
+    a, b = (lm_scoring.train(df.repartition(n), ~q._held_out(7)) for n in (1, 7))
+    assert np.allclose(a.lbl.state(), b.lbl.state(), atol=1e-6) and a.total == 5000 * 5 + 3 * 3
 
 
 def test_empty_training_set(spark):
