@@ -69,6 +69,74 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(df, empty).collect()} == {"und"}
 
 
+def plain_buckets(text, orders):
+    """Buckets of all character n-grams, by their definition, with counts."""
+    place, out = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], Counter()
+    for n in orders:
+        for i in range(len(text) - n + 1):
+            h = n
+            for k, c in enumerate(text[i : i + n]):
+                h ^= (ord(c) + k + 1) * place[k] % 2**32
+                h = (h << 5 | h >> 27) % 2**32
+            out[h * 0x2545F491 % 2**32 >> 17] += 1
+    return out
+
+
+def plain_odds(text, orders, idf, weights, bias):
+    x = {b: (1 + math.log(n)) * idf[b] for b, n in plain_buckets(text, orders).items()}
+    size = math.sqrt(sum(v * v for v in x.values())) or 1
+    return [sum(v / size * float(weights[b][c]) for b, v in x.items()) + float(bias[c]) for c in range(len(bias))]
+
+
+def test_predictions_are_those_of_plain_sums(spark):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, "documents", "/root/testdata/sf0.001").collect()]
+    docs += [(9001, "²½ 12", "en"), (9002, "ª", "en"), (9003, "", None), (9004, None, "de"), (9005, "Ǆ", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df, ~q._held_out(4))
+    lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    own = [lower(t) for i, t, lang in docs if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    df_ = Counter(b for t in own for b in plain_buckets(t, language_id.ORDERS))
+    idf = [math.log((1 + len(own)) / (1 + df_[b])) + 1 for b in range(1 << 15)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
+    for i, t, _ in docs:
+        if not any(__import__("unicodedata").category(c)[0] == "L" for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        z = np.array(plain_odds(lower(t), language_id.ORDERS, idf, model.weights, model.bias))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[i]["score"] - p.max()) < 1e-3 and p[model.languages.index(got[i]["lang_pred"])] > p.max() - 1e-3
+
+
+def test_quality_scores_are_those_of_plain_sums(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(spark, "documents", sf), table(spark, "labels", sf)
+    model = quality.train(docs, labels)
+    rows = docs.collect()
+    df_ = Counter(b for r in rows for b in plain_buckets(r["text"] or "", quality.ORDERS))
+    assert np.allclose(model.idf, [math.log((1 + len(rows)) / (1 + df_[b])) + 1 for b in range(1 << 15)], atol=1e-5)
+    got = {r["doc_id"]: r for r in quality.scored(docs, model).collect()}
+    for r in rows:
+        a = plain_odds(r["text"] or "", quality.ORDERS, model.idf, *model.content)
+        at, x = quality.meta_row((r["text"] or "").encode(), r["source"], r["lang"], r["n_chars"])
+        b = [float(sum(x[k] * model.meta[0][at[k]][c] for k in range(len(at))) + model.meta[1][c]) for c in (0, 1)]
+        odds = model.combination[0] * (a[1] - a[0]) + model.combination[1] * (b[1] - b[0]) + model.combination[2]
+        assert abs(got[r["doc_id"]]["_score"] - 1 / (1 + math.exp(-odds))) < 1e-3
+
+
+def test_quality_sample_is_bounded_by_ids(spark):
+    rows = [(i % 20, f"row {j} of {i}" + " ##" * (i % 2), "s", "en", j) for i in range(20) for j in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    sizes, plain = [], quality._rounds
+    quality._rounds = lambda views, y, *more: sizes.append(len(y)) or plain(views, y, *more)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality._rounds = plain
+    assert sizes[0] <= 20
+
+
 def test_quality_of_labelled_documents(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     seen = labels.where("doc_id % 3 <> 0")

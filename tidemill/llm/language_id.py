@@ -5,14 +5,19 @@ FTRL-proximal and elastic-net penalties on a sample of labelled rows, about
 ``per_language`` for each language, drawn by a hash of the text and id; a
 fifth of the sample sets the temperature. Prediction covers every whole text.
 
-Defined results: `und` with score 0 if a text is null or has no letter, or if
-there is nothing to learn from; rows with a null label teach nothing; rows
-that repeat an id are predicted each; other columns are not looked at.
+Defined results: `und` with score 0 if a text is null or has no letter
+(Unicode's categories L*), or if there is nothing to learn from; of languages
+of equal probability the first by code point; rows with a null label teach
+nothing; rows that repeat an id are predicted each, null ids too (they draw as
+one id of their text); very long texts are read whole; other columns, whatever
+their names, are not looked at; ids must be whole numbers or null; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +30,13 @@ from .arrowtext import batch_of, map_slices
 from .ftrl import FtrlClassifier, softmax
 
 ORDERS = (1, 2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+_ASCII_LETTER, _BEYOND = re.compile("[A-Za-z]"), re.compile("[^\x00-\x7f]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is of one of Unicode's letter categories."""
+    return bool(_ASCII_LETTER.search(text)) or any(unicodedata.category(c)[0] == "L" for c in set(_BEYOND.findall(text)))
 
 
 @dataclass
@@ -37,16 +47,13 @@ class LanguageModel:
     bias: np.ndarray
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for text, (at, n) in zip(column.to_pylist(), ngrams.counts(column, ORDERS), strict=True):
-            if not self.languages or text is None or not LETTER.search(text):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            p = softmax(ngrams.tfidf(at, n, self.idf) @ self.weights[at] + self.bias)
-            k = int(p.argmax())
-            names.append(self.languages[k])
-            scores.append(min(1.0, float(p[k])))
+        n = len(column)
+        names, scores = [UNKNOWN] * n, [0.0] * n
+        known = [k for k, text in enumerate(column.to_pylist()) if self.languages and text is not None and has_letter(text)]
+        if known:
+            p = softmax(ngrams.sums(column.take(pa.array(known)), ORDERS, self.idf, self.weights) + self.bias)
+            for k, best, score in zip(known, p.argmax(axis=1).tolist(), p.max(axis=1).tolist(), strict=True):
+                names[k], scores[k] = self.languages[best], min(1.0, score)
         return names, scores
 
 

@@ -32,12 +32,33 @@ def counts(column: pa.Array, orders: tuple[int, ...], lower: bool = True, bits:
         for k in range(n):
             h ^= (chars[k : len(chars) - n + 1 + k] + np.uint32(k + 1)) * _PLACE[k]
             h = (h << np.uint32(5)) | (h >> np.uint32(27))
-        hashed.append((h * np.uint32(0x2545F491)) >> np.uint32(32 - bits))
+        hashed.append(((h * np.uint32(0x2545F491)) >> np.uint32(32 - bits)).astype(np.uint16 if bits <= 16 else np.uint32))
     for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
-        own = [h[a : max(a, b - n + 1)] for n, h in zip(orders, hashed, strict=True)]
-        tally = np.bincount(np.concatenate(own), minlength=1 << bits) if b > a else np.zeros(1, np.int64)
-        at = np.flatnonzero(tally)
-        yield at, tally[at]
+        own = np.concatenate([h[a : max(a, b - n + 1)] for n, h in zip(orders, hashed, strict=True)])
+        if len(own) < 1 << bits - 1:  # sorting is quicker than a table of all buckets
+            own.sort(kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            yield own[first].astype(np.int64), np.diff(np.append(first, len(own)))
+        else:
+            tally = np.bincount(own, minlength=1 << bits)
+            at = np.flatnonzero(tally)
+            yield at, tally[at]
+
+
+def sums(column: pa.Array, orders: tuple[int, ...], idf: np.ndarray, weights: np.ndarray, lower: bool = True, bits: int = DIM_BITS) -> np.ndarray:
+    """For each text, its TF-IDF row (as ``tfidf`` has it) times the weights; a row of zeros for a text without n-grams."""
+    both = list(counts(column, orders, lower, bits))
+    sizes = np.array([len(at) for at, _ in both], np.int64)
+    out = np.zeros((len(both), weights.shape[1]), np.float32)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        at, n = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+        x = (1 + np.log(n, dtype=np.float32)) * idf[at]
+        heads = (np.cumsum(sizes) - sizes)[full]
+        length = np.sqrt(np.add.reduceat(x * x, heads))
+        scaled = np.add.reduceat(x[:, None] * weights[at], heads, axis=0)
+        out[full] = scaled / np.where(length > 0, length, 1)[:, None]
+    return out
 
 
 def tfidf(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 The content view is the text's hashed, cased character n-grams, TF-IDF
 weighted with document frequencies over all documents. The metadata view is
 what a page record tells without its wording: source, language, length, and
-layout (lines, their lengths, shares of kinds of characters, repetition).
+layout (lines, their lengths, shares of kinds of characters, repetition);
+page tables that name no document can add nothing to it.
 Both views start from a sample of labelled documents. In each round, all
 unlabelled documents are scored where they lie, and each view hands those it
 is most confident about, by quantiles over all that are left, to the other
@@ -19,7 +20,12 @@ Defined results: a null text is an empty one and its score is the views' own;
 null metadata are a value of their own; labels that repeat are averaged, ties
 and null labels teach nothing; without labels of both classes every document
 scores the mean label (1 if there is none); rows that repeat an id are scored
-each; other columns are not looked at.
+each, and of a labelled id's rows the one of the least hash teaches; the
+sample is taught in the order of a hash of the id, and documents of equal odds
+are drawn in that of a hash of id and row; null ids are scored and may be
+drawn as unlabelled; very long texts are read whole; other columns, whatever
+their names, are handed on; ids must be whole numbers or null; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .arrowtext import as_binary, map_slices
+from .arrowtext import as_binary, map_batches, map_slices
 from .ftrl import FtrlClassifier, Row
 from .store import written
 
@@ -82,16 +88,24 @@ class QualityModel:
         if self.constant is not None:
             n = len(texts)
             return np.full(n, self.constant), np.zeros(n), np.zeros(n)
-        (w, b), (v, c) = self.content, self.meta
-        odds_c, odds_m = [], []
-        for text, record, (at, n) in zip(as_binary(texts).to_pylist(), zip(*metadata, strict=True), ngrams.counts(texts, ORDERS, lower=False), strict=True):
-            z = ngrams.tfidf(at, n, self.idf) @ w[at] + b
-            odds_c.append(z[1] - z[0])
-            m, x = meta_row(text, *record)
-            z = x @ v[m] + c
-            odds_m.append(z[1] - z[0])
-        a, b2 = np.array(odds_c, np.float64), np.array(odds_m, np.float64)
-        return _sigmoid(self.combination[0] * a + self.combination[1] * b2 + self.combination[2]), a, b2
+        a = content_odds(texts, self.idf, self.content)
+        rows = [meta_row(text, *record) for text, record in zip(as_binary(texts).to_pylist(), zip(*metadata, strict=True), strict=True)]
+        b = meta_odds([at for at, _ in rows], self.meta)
+        return _sigmoid(self.combination[0] * a + self.combination[1] * b + self.combination[2]), a, b
+
+
+def content_odds(texts: pa.Array, idf: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The content view's log-odds of each text."""
+    weights, bias = model
+    z = ngrams.sums(texts, ORDERS, idf, weights[:, 1:] - weights[:, :1], lower=False)
+    return z[:, 0].astype(np.float64) + float(bias[1] - bias[0])
+
+
+def meta_odds(rows: list[np.ndarray], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The metadata view's log-odds of rows of features."""
+    weights, bias = model
+    way = (weights[:, 1] - weights[:, 0]).astype(np.float64)
+    return np.array([way[at].sum() / np.sqrt(max(1, len(at))) for at in rows], np.float64) + float(bias[1] - bias[0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -156,41 +170,66 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.withColumn("key", F.xxhash64("text", *META))
 
 
-def view_odds(rows: DataFrame, idf: np.ndarray, models: list[FtrlClassifier]) -> DataFrame:
-    """(id, key, odds0, odds1) of every keyed row: both views' log-odds."""
-    shared = rows.sparkSession.sparkContext.broadcast(QualityModel(idf, models[0].freeze(), models[1].freeze(), np.zeros(3), None))
+def content_view(rows: DataFrame, idf: np.ndarray, model: FtrlClassifier) -> DataFrame:
+    """(id, key, odds) of every keyed row, by its text."""
+    shared = rows.sparkSession.sparkContext.broadcast((idf, model.freeze()))
+
+    def step():
+        return lambda batch: pa.record_batch([batch.column(0), batch.column(1), pa.array(content_odds(batch.column(2), *shared.value))], ["id", "key", "odds"])
+
+    return map_slices(rows.select(*KEY, "text"), step, "id long, key long, odds double")
+
+
+def meta_rows(rows: DataFrame) -> DataFrame:
+    """(id, key, meta) of every keyed row: the features of its metadata view, which no round changes."""
 
     def step():
         def apply(batch):
-            _, a, b = shared.value.scores(batch.column(2), [batch.column(i).to_pylist() for i in (3, 4, 5)])
-            return pa.record_batch([batch.column(0), batch.column(1), pa.array(a), pa.array(b)], ["id", "key", "odds0", "odds1"])
+            text, source, lang, chars = (batch.column(i) for i in range(2, 6))
+            meta = [meta_row(*r)[0].astype(np.int16) for r in zip(as_binary(text).to_pylist(), source.to_pylist(), lang.to_pylist(), chars.to_pylist(), strict=True)]
+            return pa.record_batch([batch.column(0), batch.column(1), pa.array(meta, pa.list_(pa.int16()))], ["id", "key", "meta"])
 
         return apply
 
-    return map_slices(rows.select(*KEY, "text", *META), step, "id long, key long, odds0 double, odds1 double")
+    return map_slices(rows.select(*KEY, "text", *META), step, "id long, key long, meta array<smallint>")
 
 
-def confident(odds: DataFrame, share: float, good: float, most: int) -> list[tuple[int | None, int, int, int]]:
-    """(id, key, view, label): for each view and label, rows beyond a quantile of all odds, at most about ``most`` a view.
+def meta_view(metas: DataFrame, model: FtrlClassifier) -> DataFrame:
+    """(id, key, odds) of rows of ``meta_rows``."""
+    shared = metas.sparkSession.sparkContext.broadcast(model.freeze())
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(meta_odds([flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], shared.value))], ["id", "key", "odds"])
+
+    return map_batches(metas, run, "id long, key long, odds double")
+
+
+def beyond(odds: DataFrame, view: int, share: float, good: float, most: int) -> list[tuple[int | None, int, int, int]]:
+    """(id, key, view, label): for each label, rows of (id, key, odds) beyond a quantile of all odds, at most about ``most``.
 
-    The quantiles leave ``share`` of the rows a view, split as the labels are; of more rows than ``most`` hashes decide.
+    The quantiles leave ``share`` of the rows, split as the labels are; of more rows than ``most`` hashes decide.
     """
     cuts = [share * (1 - good), 1 - share * good]
-    row = odds.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"odds{k}", cuts, 10_000).alias(f"q{k}") for k in (0, 1)]).first()
+    row = odds.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("odds", cuts, 10_000).alias("q")).first()
     if not row["n"]:
         return []
-    size = min(most, max(1, int(share * row["n"])))
+    size, (low, high), x = min(most, max(1, int(share * row["n"]))), row["q"], F.col("odds")
     found = []
-    for k in (0, 1):
-        low, high = row[f"q{k}"]
-        x = F.col(f"odds{k}")
-        for y, beyond, part in ((1, (x > 0) & (x >= high), good), (0, (x < 0) & (x <= low), 1 - good)):
-            # copies are one, and a quantile that ties take in is drawn from like any other
-            drawn = odds.where(beyond).select(*KEY).distinct().orderBy(F.xxhash64(*KEY, F.lit(k)), *KEY).limit(max(1, round(size * part)))
-            found += [(r["id"], r["key"], k, y) for r in drawn.collect()]
+    for y, far, part in ((1, (x > 0) & (x >= high), good), (0, (x < 0) & (x <= low), 1 - good)):
+        # copies are one, and a quantile that ties take in is drawn from like any other
+        drawn = odds.where(far).select(*KEY).distinct().orderBy(F.xxhash64(*KEY, F.lit(view)), *KEY).limit(max(1, round(size * part)))
+        found += [(r["id"], r["key"], view, y) for r in drawn.collect()]
     return found
 
 
+def confident(odds: DataFrame, share: float, good: float, most: int) -> list[tuple[int | None, int, int, int]]:
+    """``beyond`` for both views of a table that has odds0 and odds1."""
+    return [x for k in (0, 1) for x in beyond(odds.select(*KEY, F.col(f"odds{k}").alias("odds")), k, share, good, most)]
+
+
 def _combined(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Newton's method for a logistic regression on two log-odds, lightly penalised towards their mean."""
     x = np.stack([a, b, np.ones(len(a))], axis=1)
@@ -222,8 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     chosen = known.where(draw < F.when(F.col("y") == 1, int(quota[1] * (1 << 30))).otherwise(int(quota[0] * (1 << 30))))
     rows = keyed(docs, id_col)
     chosen = spark.createDataFrame(chosen.collect(), "id long, y int")  # about ``labelled`` rows of 12 bytes
-    sample = _viewed(rows.join(F.broadcast(chosen), "id")).collect()
-    sample.sort(key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"] or 0, r["key"]))
+    # of the rows that share a drawn id, the one of the least key: as many rows as ids, however often ids repeat
+    drawn = rows.select("id", "key").join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("key").alias("key"))
+    drawn = spark.createDataFrame(drawn.collect(), "id long, y int, key long")
+    sample = _viewed(rows.join(F.broadcast(drawn), KEY).dropDuplicates(KEY)).collect()
+    sample.sort(key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"]))
     as_rows = lambda found: [  # noqa: E731  the rows of both views
         [(np.array(r["buckets"], np.int64), ngrams.tfidf(np.array(r["buckets"], np.int64), np.array(r["counts"]), idf)) for r in found],
         [(np.array(r["meta"], np.int64), np.full(len(r["meta"]), 1 / np.sqrt(max(1, len(r["meta"]))), np.float32)) for r in found],
@@ -240,11 +282,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     free = rows.join(F.broadcast(chosen.select("id")), "id", "left_anti")
     used = set()
 
+    metas = written(meta_rows(free), "metas")
+
     def exchange(models):
-        odds = written(view_odds(free, idf, models), "odds")
-        if used:
-            odds = odds.join(F.broadcast(_keys(spark, used)), [odds[c].eqNullSafe(F.col(c + "_")) for c in KEY], "left_anti")
-        found = confident(odds, share, float(y[taught].mean()), max(1, int(share * pool)))
+        found = []
+        for k, view in enumerate((content_view(free, idf, models[0]), meta_view(metas, models[1]))):
+            odds = written(view, "odds")
+            if used:
+                odds = odds.join(F.broadcast(_keys(spark, used)), [odds[c].eqNullSafe(F.col(c + "_")) for c in KEY], "left_anti")
+            found += beyond(odds, k, share, float(y[taught].mean()), max(1, int(share * pool)))
         if not found:
             return []
         keys = {f[:2] for f in found}
