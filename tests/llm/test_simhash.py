@@ -9,7 +9,15 @@ from tidemill.llm import components, simhash
 SCHEMA = "doc_id long, text string, fp string"
 
 
-def brute_fingerprint(text):
+def remixed(h, salt):
+    m = (1 << 64) - 1
+    h = (h ^ (0x9E3779B97F4A7C15 * salt & m)) * 0xBF58476D1CE4E5B9 & m
+    h ^= h >> 29
+    h = h * 0x94D049BB133111EB & m
+    return h ^ h >> 32
+
+
+def brute_fingerprint(text, salt=0):
     words = (text or "").translate({c: c + 32 for c in range(65, 91)})
     for c in "\t\n\x0b\x0c\r":
         words = words.replace(c, " ")
@@ -20,6 +28,7 @@ def brute_fingerprint(text):
     counts = [0] * 64
     for g in grams:
         h = xxhash.xxh64_intdigest(g.encode(), 42)
+        h = remixed(h, salt) if salt else h
         for b in range(64):
             counts[b] += h >> b & 1
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(grams))
@@ -61,6 +70,9 @@ def texts():
 def test_fingerprint_is_brute_force():
     for t in texts():
         assert simhash.fingerprint((t or "").encode()) == brute_fingerprint(t)
+        words = (t or "").split()
+        want = tuple(brute_fingerprint(t, k) for k in (0, 1, 2)) if words else (0, 0, 0)
+        assert simhash.all_fingerprints((t or "").encode(), more=2) == want
 
 
 @pytest.mark.parametrize("block", [2, 512])

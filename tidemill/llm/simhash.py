@@ -40,37 +40,55 @@ BLOCK = 512
 BROADCAST_KEYS = 50_000
 
 
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Other 64-bit hashes of what h are hashes of."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * salt & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Bit i is set if it is in over half the hashes of the text's shingles."""
+    return all_fingerprints(text, shingle, seed)[0]
+
+
+def all_fingerprints(text: bytes, shingle: int = 3, seed: int = 42, more: int = 0) -> tuple[int, ...]:
+    """The text's fingerprint, and ``more`` others over other hashes: bit i is set if it is in over half the hashes of the text's shingles."""
     own = text.lower().split()  # white space: 0x20, 0x09-0x0D
     if not own:
-        return 0
+        return (0,) * (more + 1)
     if len(own) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(own), seed)
+        h = np.array([xxhash.xxh64_intdigest(b" ".join(own), seed)], np.uint64)
+        return int(h[0]), *[int(_mixed(h, k)[0]) for k in range(1, more + 1)]
     joined = b" ".join(own)
     digest, k = xxhash.xxh64_intdigest, shingle - 1
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
     starts = np.concatenate([[0], ends[: -k - 1]]).tolist()
     ends = (ends[k:] - 1).tolist()
-    counts, n = np.zeros(BITS, np.int64), len(starts)
+    counts, n = np.zeros((more + 1, BITS), np.int64), len(starts)
     for at in range(0, n, 65536):
         h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        for i in range(more + 1):
+            own_ = _mixed(h, i) if i else h
+            counts[i] += np.unpackbits(own_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return tuple(np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id, key, fp): fp is the fingerprint as a signed 64-bit integer; key is a hash of the text, which tells rows of one id apart."""
-    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, more: int = 0) -> DataFrame:
+    """(id, key, fp, fp1, ...): fp and ``more`` others as signed 64-bit integers; key is a hash of the text, which tells rows of one id apart."""
+    names = ["fp", *[f"fp{k}" for k in range(1, more + 1)]]
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "key", *names)])
 
     def step():
         def apply(batch):
-            fps = np.array([fingerprint(t, shingle, seed) for t in as_binary(batch.column(2)).to_pylist()], np.uint64)
-            return batch_of(schema, batch.column(0), batch.column(1), fps.view(np.int64))
+            fps = np.array([all_fingerprints(t, shingle, seed, more) for t in as_binary(batch.column(2)).to_pylist()], np.uint64).reshape(-1, more + 1)
+            return batch_of(schema, batch.column(0), batch.column(1), *[fps[:, k].copy().view(np.int64) for k in range(more + 1)])
 
         return apply
 
-    return map_slices(docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text")), step, "id long, key long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return map_slices(rows, step, ", ".join(f"{f.name} long" for f in schema))
 
 
 def text_key(text_col: str | Column = "text") -> Column:
@@ -293,9 +311,9 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, seed: int = 42, sample: int = 2048, block: int = BLOCK) -> DataFrame:
-    """(id, key, fp, root, component_id) for every row: root is a fingerprint that stands for the component."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, seed: int = 42, sample: int = 2048, block: int = BLOCK, more: int = 0) -> DataFrame:
+    """(id, key, fp, fp1, ..., root, component_id) for every row: root is a fingerprint that stands for the component."""
+    fps = written(fingerprints(docs, id_col, text_col, shingle, seed, more), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = planned(nodes, radius, sample)
     if parts:
@@ -306,7 +324,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shing
     rooted = written(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(firsts, "root").select("fp", "root", "component_id")
-    return fps.join(classes.hint("merge"), "fp").select("id", "key", "fp", "root", "component_id")
+    return fps.join(classes.hint("merge"), "fp").select(*fps.columns, "root", "component_id")
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -315,18 +333,28 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
 
 
-def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int, similarity: float, words: int, **options) -> tuple[DataFrame, DataFrame]:
+def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int, similarity: float, words: int, looks: int, **options) -> tuple[DataFrame, DataFrame]:
     """Rows as ``_classed`` gives them, and for each class (root, at, group): its first row and a root of the classes put together."""
-    base = written(_classed(docs, id_col, text_col, radius, **options), "classes")
+    base = written(_classed(docs, id_col, text_col, radius, more=looks - 1, **options), "classes")
+    names = ["fp", *[f"fp{k}" for k in range(1, looks)]]
     # rows without an id come last, rows that share one in the order of their texts' hashes
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "fp")).alias("at")
-    firsts = written(base.groupBy("root").agg(first).select("root", "at", "at.fp"), "firsts")
-    parts = planned(firsts.select("fp"), wide)
-    if not parts:
-        return base, firsts.select("root", "at", F.col("root").alias("group"))
-    pairs = links(firsts.select("fp"), parts, wide, thin=False).distinct()
-    a, b = (firsts.select(F.col("fp").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = written(pairs.join(a, "a").join(b, "b").select("root_a", "root_b"), "alike")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", *names)).alias("at")
+    firsts = written(base.groupBy("root").agg(first).select("root", "at", *[f"at.{c}" for c in names]), "firsts")
+    found = None
+    for c in names:
+        own = firsts.select(F.col(c).alias("fp")).distinct()
+        parts = planned(own, wide)
+        if not parts:
+            return base, firsts.select("root", "at", F.col("root").alias("group"))
+        near = links(own, parts, wide, thin=False).distinct()
+        a, b = (firsts.select(F.col(c).alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        met = near.join(a, "a").join(b, "b").select("root_a", "root_b")
+        if c != "fp":  # classes may share another fingerprint
+            same = firsts.select(F.col(c).alias("b"), F.col("root").alias("root_b"))
+            met = met.unionByName(a.join(same, (F.col("a") == F.col("b")) & (F.col("root_a") < F.col("root_b"))).select("root_a", "root_b"))
+        met = met.select(F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
+        found = met if found is None else found.unionByName(met)
+    pairs = written(found.distinct(), "alike")
     asked = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
     asked = firsts.join(asked.hint("merge"), "root").select("root", F.col("at.id").alias("id_"), F.col("at.key").alias("key_"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -359,27 +387,32 @@ def similar_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     radius: int = 3,
-    wide: int = 8,
+    wide: int = 9,
     similarity: float = 0.8,
     words: int = 5,
+    looks: int = 2,
     **options,
 ) -> DataFrame:
     """(id_col, fp, component_id) as near_duplicates gives it, and classes whose first documents are alike put together.
 
-    First documents of classes are searched within ``wide`` bits, and joined if
-    the Jaccard similarity of their shingle sets, of ``words`` words, is at
-    least ``similarity``. Classes are known by fingerprints, so rows that have
-    no id, or share one, are compared like others.
+    First documents of classes are searched within ``wide`` bits of any of
+    ``looks`` fingerprints over different hashes, and joined if the Jaccard
+    similarity of their shingle sets, of ``words`` words, is at least
+    ``similarity``. Two fingerprints miss a pair independently, so each look
+    more misses a part of what is left. Classes are known by fingerprints, so
+    rows that have no id, or share one, are compared like others; the first
+    row of a class is that of the least id, then of the least text hash, with
+    null ids last.
     """
-    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, **options)
+    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, looks, **options)
     tops = classes.groupBy("group").agg(F.min("at.id").alias("component_id"))
     named = classes.join(tops, "group").select("root", "component_id")
-    return base.drop("component_id").join(named.hint("merge"), "root").select(F.col("id").alias(id_col), "fp", "component_id")
+    return base.drop("component_id").join(named.hint("merge"), "root").select(F.col("id").alias(id_col), "fp", "component_id")  # of the classes put together
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, wide: int = 8, similarity: float = 0.8, words: int = 5, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, wide: int = 9, similarity: float = 0.8, words: int = 5, looks: int = 2, **options) -> DataFrame:
     """(id, key, n): the first row of each of similar_documents' components, by id (none is last), then ``text_key``; n: rows that have both."""
-    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, **options)
+    base, classes = _similar(docs, id_col, text_col, radius, wide, similarity, words, looks, **options)
     tops = classes.groupBy("group").agg(F.min("at").alias("at")).select("at.id", "at.key")
     counts = base.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).select(F.col("id").alias("id_"), F.col("key").alias("key_"), "n")
     return tops.join(counts.hint("merge"), (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_"))).select("id", "key", "n")
