@@ -47,6 +47,51 @@ def test_matches_brute_force(spark):
             assert have == sorted((i, *brute(t, items)) for i, t, _ in docs), (seed, block)
 
 
+def brute_matches(text, items, window=10):
+    """Longest verbatim matches: (row, offset, start, length), none inside a longer one on the same diagonal."""
+    words, out = WORD.findall(lowered(text)), set()
+    for row, (_, t) in enumerate(items):
+        own = WORD.findall(lowered(t))
+        size = min(window, len(own))
+        for i in range(len(own)):
+            for p in range(len(words)):
+                if own[i] == words[p] and (not i or not p or own[i - 1] != words[p - 1]):
+                    n = 0
+                    while i + n < len(own) and p + n < len(words) and own[i + n] == words[p + n]:
+                        n += 1
+                    if n >= size:
+                        out.add((row, i, p, n))
+    return out
+
+
+def test_longest_matches_and_their_places(spark):
+    docs, items = case(11, 12)
+    docs = [x for x in docs if len(x[1] or "") < 2000]
+    df = spark.createDataFrame(docs, "doc_id long, text string, _clash string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    for block, shard, passes in ((6 << 20, 8 << 20, 4), (40, 500, 2)):
+        got = d.matches(df, bench, block_bytes=block, shard_bytes=shard, passes=passes).collect()
+        have = sorted((r["doc_id"], r["_longest"], sorted((m["row"], m["offset"], m["start"], m["length"]) for m in r["_matches"])) for r in got)
+        want = [(i, brute_matches(t, items)) for i, t, _ in docs]
+        assert have == sorted((i, max([m[3] for m in x], default=0), sorted(x)) for i, x in want), block
+
+
+def test_long_items_are_cut(spark):
+    rng = random.Random(3)
+    long = [f"{rng.randrange(10**12):x}" for _ in range(1_300_000)]  # 15 MB, nearly all words different
+    docs = [(1, " ".join(long[700_000:700_040])), (2, " ".join(long[5:14])), (3, " ".join(long[-10:])), (4, "x " + " ".join(long[450_000:480_000]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: [(m["offset"], m["start"], m["length"]) for m in r["_matches"]] for r in d.matches(df, spark.createDataFrame([("a", " ".join(long))], "item_id string, text string")).collect()}
+    assert got == {1: [(700_000, 0, 40)], 2: [], 3: [(1_299_990, 0, 10)], 4: [(450_000, 1, 30_000)]}
+
+
+def test_plan_holds_few_blocks(spark):
+    docs, items = case(2)
+    df = spark.createDataFrame(docs, "doc_id long, text string, _clash string")
+    plan = d.matches(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=20, passes=2)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("MapInArrow") <= 2
+
+
 def test_longest_match_of_every_suffix():
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(list("abcd"), 30)) for _ in range(5)]
