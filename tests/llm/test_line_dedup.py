@@ -51,11 +51,29 @@ def test_ledger_compacts_levels_and_tells_new_keys(spark):
     assert sorted(map(tuple, ledger.compacted().collect())) == [(1, 1, 3, 90), (2, 2, 2, 91), (3, 3, 1, 51), (4, 4, 2, 21)]
 
 
+def test_runs_are_read_as_they_lie(spark):
+    """Of a batch only its own rows are shuffled; merging runs moves and sorts nothing."""
+    ledger = ld.RunLedger(spark, fanout=3, buckets=4)
+    rows = spark.range(3000).selectExpr("xxhash64(id % 1000) as h1", "id % 7 as h2", "id")
+    for k in (2, 1):
+        ledger.add(rows.where(f"id % 3 = {k}"))
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        for df, exchanges, sorts in ((ledger.batch(rows.where("id % 3 = 0")), 1, 1), (ledger.compacted(), 0, 0)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert (plan.count("Exchange hashpartitioning"), plan.count("Sort [")) == (exchanges, sorts), plan
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+
+
 def test_null_ids_repeats_and_empty_table(spark):
     line = "the very same line again"
     rows = [(None, line), (1, line), (2, line), (2, line)]
     got = sorted((r["doc_id"] or 0, r["n_dropped"], hashlib.md5(r["text"].encode()).hexdigest()) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert [x[:2] for x in got] == [(0, 0), (1, 1), (2, 0), (2, 0)]
+    assert [x[:2] for x in got] == [(0, 0), (1, 0), (2, 0), (2, 0)]  # two documents by id
+    rows += [(3, line), (1, "another line of the text\n" + line)]
+    got = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (2, 1), (3, 0)]
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -1,17 +1,21 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A ledger of line keys is kept as sorted runs: every batch of documents is
-reduced to one row a key, merge-anti-joined with the runs there are, and added
-as a run of its own. Keys that no run holds become *owned* rows with the
-batch's largest document; keys that one does hold add only to its count. When
-a level has ``fanout`` runs they are compacted into one of the next level.
+A ledger of line keys is kept as sorted runs: tables in buckets by the key,
+each bucket sorted by it. Every batch of documents is reduced to one row a
+key, dealt to the same buckets, merge-anti-joined with the runs there are, and
+added as a run of its own; only the batch moves, the runs are read as they
+lie. Keys that no run holds become *owned* rows with the batch's largest
+document; keys that one does hold add only to its count. When a level has
+``fanout`` runs they are merged, bucket by bucket, into one of the next level.
 Batches come in descending order of document id, so an owner is the largest
 document that holds the key.
 
 Defined results: a null or empty text is one empty line; a null id's lines are
-neither counted nor dropped; rows that repeat an id count as documents of
-their own and share its owner; other columns, whatever their names, are not
-looked at; an empty table gives an empty result.
+neither counted nor dropped; rows that repeat an id are one document, whose
+lines are counted once and lost from all its rows or none; rows that tie in id
+and text are all kept; very long texts are read whole; other columns, whatever
+their names, are not looked at; ids must be whole numbers or null; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import as_binary, batch_of, map_slices
-from .store import written
+from .store import sorted_run, written
 
 #: White space stripped from both ends of a line.
 STRIPPED = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -60,64 +64,81 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 class RunLedger:
-    """Levelled runs of (h1, h2, n, owner), each sorted by key."""
+    """Levelled runs of (h1, h2, n, owner), each in sorted buckets by key."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout, self.levels = spark, fanout, {}
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels.values() for run in level]
 
+    def batch(self, lines: DataFrame) -> DataFrame:
+        """What ``add`` writes of a batch of (h1, h2, id) rows: (h1, h2, n, owner); rows with an owner are the keys no run holds."""
+        own = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("owner"))
+        for run in self.runs():
+            held = run.where("owner is not null").select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+            met = own.join(held.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
+            own = met.withColumn("owner", F.expr("if(r1 is null, owner, null)")).drop("r1", "r2")
+        return own
+
     def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of (h1, h2, id) rows as a run and returns that run.
-
-        In it, rows with an owner are the keys no earlier run held.
-        """
-        own = lines.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
-        held = self._union()
-        if held is None:
-            run = own.withColumn("owner", F.col("last"))
-        else:
-            held = held.where("owner is not null").select(*KEYS, F.lit(True).alias("held"))
-            run = own.join(held.hint("merge"), KEYS, "left").withColumn("owner", F.expr("if(held is null, last, null)"))
-        run = self._sorted(run.select(*KEYS, "n", "owner"))
+        """Adds a batch as a run and returns that run."""
+        run = self._written(self.batch(lines))
         self._put(0, run)
         return run
 
     def compacted(self) -> DataFrame | None:
         """One row a key: (h1, h2, n, owner) over all batches."""
-        held = self._union()
-        return None if held is None else self._merged(held)
+        runs = self.runs()
+        return self._merged(runs) if runs else None
 
     def _put(self, level: int, run: DataFrame) -> None:
         own = self.levels.setdefault(level, [])
         own.append(run)
         if len(own) >= self.fanout:
-            merged = own[0]
-            for other in own[1:]:
-                merged = merged.unionByName(other)
             self.levels[level] = []
-            self._put(level + 1, self._sorted(self._merged(merged)))
-
-    def _union(self) -> DataFrame | None:
-        out = None
-        for run in self.runs():
-            out = run if out is None else out.unionByName(run)
-        return out
+            self._put(level + 1, self._written(self._merged(own)))
 
     @staticmethod
-    def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEYS).agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """A merge of sorted runs: full joins on the key, which move nothing."""
+        out = runs[0].select(*KEYS, "n", "owner")
+        for run in runs[1:]:
+            other = run.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("rn"), F.col("owner").alias("rowner"))
+            both = out.join(other.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "full")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("rn", F.lit(0))
+            out = both.select(F.coalesce("h1", "r1").alias("h1"), F.coalesce("h2", "r2").alias("h2"), n.alias("n"), F.greatest("owner", "rowner").alias("owner"))
+        return out
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return written(run.sortWithinPartitions(*KEYS), "line-run")
+    def _written(self, run: DataFrame) -> DataFrame:
+        # a bucket that is one file is sorted as a whole, which Spark makes use of only if told so
+        order, parts = "spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.shuffle.partitions"
+        before = {c: self.spark.conf.get(c, None) for c in (order, parts)}
+        try:
+            self.spark.conf.set(order, "true")
+            self.spark.conf.set(parts, str(self.buckets))
+            return sorted_run(run.select(*KEYS, "n", "owner"), "line-run", KEYS, self.buckets)
+        finally:
+            for c, x in before.items():
+                self.spark.conf.unset(c) if x is None else self.spark.conf.set(c, x)
+
+
+def by_document(lines: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """(h1, h2, id) rows with each key of an id once, where rows of the table repeat ids."""
+    again = docs.groupBy(F.col(id_col).cast("long").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 and again is not null").select("again")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return lines
+    on = F.col("id") == F.col("again")
+    return written(lines.join(again, on, "left_anti").unionByName(lines.join(again, on, "left_semi").distinct()), "lines")
 
 
 def dropped_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(id, drop): for each document that loses lines, the keys it loses."""
     spark = docs.sparkSession
     lines = written(line_keys(docs, id_col, text_col, min_chars), "lines")
+    lines = by_document(lines, docs, id_col)
     if lines.isEmpty():
         return lines.groupBy("id").agg(F.collect_list(F.struct(*KEYS)).alias("drop"))
     cuts = docs.select(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] if batches > 1 else []

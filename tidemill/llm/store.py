@@ -25,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -53,9 +54,28 @@ def partitions_for(df: DataFrame, rows: int = 0, target_bytes: int = 64 << 20, t
     return max(n, by_size, -(-rows // target_rows))
 
 
+def sorted_run(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Writes df in the shared folder as a table in ``buckets`` by the keys, each sorted by them.
+
+    Joins on the keys with another such table, or with rows dealt to as many
+    partitions by the keys, read it without a shuffle.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = "tidemill_" + path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has made in the shared folder. DataFrames that read from it can't be used any more."""
-    jvm = spark.sparkContext._jvm
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     while _made:
-        target = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(spark, _made.pop())
