@@ -136,3 +136,19 @@ def test_a_line_stands_before_its_parts():
         assert p.part[own][p.parts[own] == 0].tolist() == list(range((p.parts[own] == 0).sum()))
         (k,) = own[p.parts[own] > 0]
         assert p.words[k] == 90 and p.part[k] == p.part[k + 1] and p.words[k + 1 : k + 1 + p.parts[k]].sum() == 90
+
+
+def test_recall_of_passages_inside_other_text():
+    """Of exact passages of 51 to 60 words between other words of one line, nearly all leave a run that is long enough."""
+    rng, s, lost = random.Random(1), sd.Settings(), 0
+    some = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    for i in range(400):
+        passage = some(51 + i % 10)
+        p = sd.paragraphs(pa.array([" ".join(some(60) + passage + some(20)), " ".join(some(37) + passage + some(80))]), s)
+        plain = p.parts == 0
+        first, run, best = set(p.content[plain & (p.text == 0)].tolist()), 0, 0
+        for c, k in zip(p.content[plain & (p.text == 1)].tolist(), p.words[plain & (p.text == 1)].tolist(), strict=True):
+            run = run + k if c in first else 0
+            best = max(best, run)
+        lost += best < s.min_run
+    assert lost <= 0.02 * 400

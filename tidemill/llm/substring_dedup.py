@@ -5,14 +5,15 @@ within ``radius`` words. That depends on nothing further away, so a passage
 that recurs inside other text brings the same paragraphs with it, but for its
 edges. A line or block of lines that is divided is a paragraph of its own as
 well, before its parts, so that near-copies of it meet as a whole; what its
-component says holds for all its parts. Paragraphs are MinHashed over shingles of five words; the number and
-width of bands is tuned for recall at the threshold. Lines and blocks
-have bands of their own, so one that is divided is not compared with a part of
-another. Colliding paragraphs are verified by the exact Jaccard similarity of their shingle sets, and the links
-found make components, of which those that span documents count. Of each
-component the first paragraph (least document,
-then place) stays; the others are removed where they are part of a run of
-repeated paragraphs of at least ``min_run`` words. A run goes on behind up to
+component says holds for all its parts. Lines and blocks, divided or not, are
+MinHashed over shingles of five words; the number of bands is tuned for recall
+at the threshold, at a width that few pairs below it collide in. Colliding
+paragraphs are verified by the exact Jaccard similarity of their shingle sets,
+and the links found make components, of which those that span documents count.
+Parts of lines, of few words, are compared by equality. Of each component the
+first paragraph (least document, then place) stays; the others are removed
+where they are part of a run of repeated paragraphs of at least ``min_run``
+words. A run goes on behind up to
 two paragraphs that are not repeated, if what is repeated around them goes on
 in the same first document.
 
@@ -59,7 +60,7 @@ def tuned(threshold: float, recall: float, most: int = 8, least: int = 1) -> tup
 
 @dataclass(frozen=True)
 class Settings:
-    radius: int = 6
+    radius: int = 4
     min_line: int = 12
     min_run: int = 25
     threshold: float = 0.8
@@ -186,10 +187,12 @@ def _doc_ids(column: pa.Array) -> np.ndarray:
 def banded(docs: DataFrame, s: Settings) -> DataFrame:
     """(band, c, doc, unit, last, n, main, links): for each distinct paragraph of a batch and each band, its key, first place, last document and number.
 
-    Undivided paragraphs have bands of their own, lines and blocks have others, of more rows: long paragraphs share
-    some shingle with too many. main: the first band, where all are counted; links: whether it meets others there.
+    Every paragraph has a row by its content, where all are counted (main). Lines and blocks, divided or not, have
+    rows by their MinHash bands as well, where they meet others (links); parts of a line are compared by content alone.
     """
-    kinds = [tuned(s.threshold, s.recall), tuned(s.threshold, s.recall, 3, 3)]
+    bands, rows = tuned(s.threshold, s.recall, 3, 3)
+    rng = np.random.default_rng(17)
+    factors = rng.integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def step():
         def apply(batch):
@@ -201,22 +204,24 @@ def banded(docs: DataFrame, s: Settings) -> DataFrame:
             heads = np.flatnonzero(np.concatenate([[True], np.diff(p.content[order]) != 0]))
             pick, n = order[heads], np.diff(np.append(heads, len(order)))
             last = np.maximum.reduceat(doc[order], heads)
-            whole = np.logical_or.reduceat(p.natural[order], heads)
-            plain = np.logical_or.reduceat((p.parts == 0)[order], heads)
-            out, salt = [], 0
-            for kind, (own, (bands, rows)) in enumerate(zip((plain, whole), kinds, strict=True)):
-                for b in range(bands):
-                    key = np.full(len(p.content), salt, np.uint64)
-                    for r in range(rows):
-                        key = _mixed(key ^ np.minimum.reduceat(_mixed(p.shingles, 100 + salt), p.first), 1)
-                        salt += 1
-                    main = not kind and not b
-                    at = np.flatnonzero(own | main)
-                    out.append((key[pick[at]].view(np.int64), at, np.full(len(at), main), own[at]))
-            key, at, main, links = (np.concatenate(x) for x in zip(*out, strict=True))
+            whole = np.flatnonzero(np.logical_or.reduceat(p.natural[order], heads))
+            everything = np.arange(len(pick))
+            out = [(_mixed(p.content[pick], 23), everything, True)]
+            # the shingles, well mixed already, of lines and blocks
+            sizes = np.diff(np.append(p.first, len(p.shingles)))[pick[whole]]
+            starts = np.cumsum(sizes) - sizes
+            own = p.shingles[np.repeat(p.first[pick[whole]] - starts, sizes) + np.arange(sizes.sum())]
+            for b in range(bands if len(whole) else 0):
+                key = np.full(len(whole), 31 + b, np.uint64)
+                for factor in factors[b]:
+                    key = _mixed(key ^ np.minimum.reduceat(own * factor, starts), 1)
+                out.append((key, whole, False))
+            key = np.concatenate([k for k, _, _ in out]).view(np.int64)
+            at = np.concatenate([x for _, x, _ in out])
+            main = np.concatenate([np.full(len(x), m) for _, x, m in out])
             first = pick[at]
             return pa.record_batch(
-                [key, p.content[first].view(np.int64), doc[first], p.number[first].astype(np.int32), last[at], n[at].astype(np.int32), main, links],
+                [key, p.content[first].view(np.int64), doc[first], p.number[first].astype(np.int32), last[at], n[at].astype(np.int32), main, ~main],
                 ["band", "c", "doc", "unit", "last", "n", "main", "links"],
             )
 
@@ -229,14 +234,15 @@ def collided(rows: DataFrame, partitions: int) -> DataFrame:
     """From banded rows: (band, c, doc, unit, last): contents that occur more than once (band null), and contents that share a band with another."""
     dealt = rows.repartition(partitions, "band").sortWithinPartitions("band", "c", "doc", "unit")
 
-    def found(cols):
-        band, c, doc, unit, last, n, main, links = cols
-        new = np.concatenate([[True], (band[1:] != band[:-1]) | (c[1:] != c[:-1])])
-        heads = np.flatnonzero(new)
-        total = np.add.reduceat(n.astype(np.int64), heads)
-        last = np.maximum.reduceat(last, heads)
-        links = np.logical_or.reduceat(links, heads)
-        band, c, doc, unit, main = (x[heads] for x in (band, c, doc, unit, main))
+    def reduced(parts):
+        """One row a band and content."""
+        band, c, doc, unit, last, n, main, links = (np.concatenate(x) for x in zip(*parts, strict=True))
+        heads = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (c[1:] != c[:-1])]))
+        total, last, links = np.add.reduceat(n.astype(np.int64), heads), np.maximum.reduceat(last, heads), np.logical_or.reduceat(links, heads)
+        return [*(x[heads] for x in (band, c, doc, unit)), last, total, main[heads], links]
+
+    def found(parts):
+        band, c, doc, unit, last, total, main, links = reduced(parts)
         groups = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
         shared = links & np.repeat(np.add.reduceat(links.astype(np.int64), groups) > 1, np.diff(np.append(groups, len(band))))
         again = main & (total > 1)
@@ -245,19 +251,23 @@ def collided(rows: DataFrame, partitions: int) -> DataFrame:
                 yield pa.record_batch([key, c[keep], doc[keep], unit[keep], last[keep]], ["band", "c", "doc", "unit", "last"])
 
     def run(batches):
-        rest = None
+        open_, size = [], 0  # rows of the band that may go on; of very many, one a content
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             if not len(cols[0]):
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            if cut:
-                yield from found([x[:cut] for x in cols])
-            rest = [x[cut:] for x in cols]
-        if rest is not None and len(rest[0]):
-            yield from found(rest)
+            if cut or (open_ and open_[-1][0][-1] != cols[0][0]):
+                before = [*open_, [x[:cut] for x in cols]] if cut else open_
+                yield from found(before)
+                open_, size = [], 0
+            open_.append([x[cut:] for x in cols])
+            size += len(cols[0]) - cut
+            if size > 1 << 20:
+                open_ = [reduced(open_)]
+                size = len(open_[0][0])
+        if open_:
+            yield from found(open_)
 
     return map_batches(dealt, run, "band long, c long, doc long, unit int, last long")
 
