@@ -40,12 +40,89 @@ def test_logs_from_text_to_product_rows(spark):
     assert sorted((r["sku_id"], r["click_ct"], r["display_ct"]) for r in rows.collect()) == [(3, 0, 1), (7, 1, 0)]
 
 
-@pytest.mark.parametrize("text_", ["", "[]", "{}", '{"common":null,"page":{}}', '{"common":{"mid":"m"}}', '{"page":{"page_id":"x"}}', '{"common":{"mid":"m"},"page":{"page_id"', None])
-def test_logs_without_their_parts_are_dirty(spark, text_):
+WHOLE = ["{}", '{"common":null,"page":{}}', '{"common":{"mid":"m"}}', '{"page":{"page_id":"x"}}']
+
+
+@pytest.mark.parametrize("text_", ["", "[]", "7", '{"common":{"mid":"m"},"page":{"page_id"', None])
+def test_what_is_no_document_is_dirty(spark, text_):
     split = logs.split_dirty(spark.createDataFrame([(text_,)], "value string"))
     assert (split.clean.count(), split.dirty.count()) == (0, 1)
 
 
+@pytest.mark.parametrize("text_", WHOLE)
+def test_documents_without_their_parts_are_dirty_if_parts_are_required(spark, text_):
+    raw = spark.createDataFrame([(text_,)], "value string")
+    split, strict = logs.split_dirty(raw), logs.split_dirty(raw, required=logs.complete())
+    assert (split.clean.count(), split.dirty.count(), strict.clean.count(), strict.dirty.count()) == (1, 0, 0, 1)
+
+
+def test_logs_keep_fields_that_no_schema_names(spark):
+    full = {"common": {"mid": "m", "uid": "9", "os": "x", "is_new": "1"}, "err": {"code": 3}, "actions": [{"a": 1}], "page": {"page_id": "p", "source_type": "q"}, "displays": [{"item": "1", "order": 2}, {"item": "2", "pos_id": 5}], "ts": 1}
+    split = logs.split_dirty(spark.createDataFrame([(json.dumps(full),)], "value string"))
+    assert json.loads(logs.pages(split.clean).first()["value"]) == full
+    fixed = json.loads(split.clean.select(logs.fixed_text("value", F.lit("0")).alias("v")).first()["v"])
+    assert fixed == {**full, "common": {**full["common"], "is_new": "0"}}
+    shown = [json.loads(r["value"]) for r in logs.display_texts(split.clean).collect()]
+    assert shown == [{"common": full["common"], "page": full["page"], "ts": 1, "display": d} for d in full["displays"]]
+
+
+def test_change_records_and_replay(spark):
+    record = lambda op, i, n, wrap=False: json.dumps({"payload": x} if wrap else x) if (x := {"before": None, "after": {"id": i, "n": n}, "source": {"db": "d", "table": "t"}, "op": op, "ts_ms": 5}) else None
+    text_ = [record("c", 1, "a"), record("u", 2, "b", True), record("d", 3, "x"), "{}", "junk", None]
+    rows = streams.change_records(spark.createDataFrame([(x, k) for k, x in enumerate(text_)], "value string, offset long"))
+    assert sorted((r["offset"], r["topic"], r["op"], r["after"]["id"]) for r in rows.collect()) == [(0, "server.d.t", "create", "1"), (1, "server.d.t", "update", "2"), (2, "server.d.t", "delete", "3")]
+    snapshot = spark.createDataFrame([(2, "old"), (3, "gone"), (4, None)], "id int, n string")
+    read = streams.snapshot_records(snapshot, "d", "t")
+    assert {(r["op"], r["after"]["id"], r["after"].get("n")) for r in read.collect()} == {("read", "2", "old"), ("read", "3", "gone"), ("read", "4", None)}
+    plain = rows.select(F.col("after")["id"].cast("int").alias("id"), F.col("after")["n"].alias("n"), routing.operation("op").alias("type"), "offset")
+    now = routing.replayed(snapshot, plain, ["id"], ["offset"])
+    assert sorted(map(tuple, now.collect())) == [(1, "a"), (2, "b"), (4, None)]
+
+
+def test_configuration_key_is_enforced(spark):
+    with pytest.raises(ValueError, match="more than once"):
+        routing.checked(spark.createDataFrame([ROUTES[0], ROUTES[0]], CONFIG))
+    assert routing.checked(spark.createDataFrame(ROUTES, CONFIG)).count() == 3
+
+
+def test_summaries_to_a_database_and_repeated_batches(spark, tmp_path):
+    rows = spark.createDataFrame([("w", 1, "search", "2024-01-01 00:00:00", "e")], "keyword string, ct long, source string, stt string, edt string")
+    url = "jdbc:derby:memory:tidemill_sums;create=true"
+    for _ in range(2):
+        sinks.jdbc_summary(windows.stamped(rows), "keyword_stats", url)
+    got = spark.read.jdbc(url, "keyword_stats").collect()
+    assert len(got) == 2 and all(r["ts"] > 1_700_000_000_000 for r in got)
+    path = str(tmp_path / "k")
+    for batch in (0, 1, 1, 0):
+        sinks.append_summary(windows.stamped(rows), "keyword_stats", path, batch)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_fixed_offset_and_province_rows(spark):
+    df = spark.createDataFrame([("2024-01-02 08:00:00",), ("x",)], "t string")
+    assert [r[0] for r in df.select(t.to_millis_at("t")).collect()] == [1704153600000, None]
+    row = spark.createDataFrame([("1", "n", "a", "i", "j", at(0), 7)], "province_id string, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, event_time timestamp, split_total_amount int")
+    assert (lambda r: (r["order_amount"], r["order_count"]))(windows.province_rows(row).first()) == (7, 1)
+
+
+def test_collector_answers_requests(tmp_path):
+    import threading
+    from urllib.parse import quote
+    from urllib.request import urlopen
+
+    sent = []
+    server = streams.collector(str(tmp_path), forward=sent.append)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/applog"
+    try:
+        assert urlopen(f"{base}?param={quote(LOGS[0])}").read() == b"success"
+        assert urlopen(base, data=f"param={quote(LOGS[1])}".encode()).read() == b"success"
+    finally:
+        server.shutdown()
+    landed = [json.loads(x) for f in tmp_path.rglob("app.log") for x in f.read_text().splitlines()]
+    assert landed == [json.loads(x) for x in LOGS[:2]] and sent == LOGS[:2]
+
+
 def test_interval_join_edges(spark):
     o = spark.createDataFrame([(1, at(10))], "id long, a timestamp")
     d = spark.createDataFrame([(1, at(x)) for x in (4, 5, 15, 16)], "order_id long, b timestamp")
@@ -229,7 +306,10 @@ def test_typed_json_and_sink_order(spark):
 def test_summary_table_is_read_by_day(spark, tmp_path):
     rows = spark.createDataFrame([("w", 1, "search", f"2024-01-0{d} 00:00:00", "e", 0) for d in (1, 2)], "keyword string, ct long, source string, stt string, edt string, ts long")
     sinks.append_summary(rows, "keyword_stats", str(tmp_path / "k"))
-    assert serving.keywords(spark.read.parquet(str(tmp_path / "k")), 20240102).count() == 1
+    got = serving.keywords(spark.read.parquet(str(tmp_path / "k")), 20240102)
+    assert got.count() == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PartitionFilters: []" not in plan
 
 
 def test_collector(tmp_path, spark):

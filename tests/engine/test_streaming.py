@@ -121,7 +121,9 @@ def test_change_job_follows_its_configuration(spark, tmp_path):
     spark.createDataFrame([("t", "insert", {"id": "1", "n": "a", "x": "-"}, 1), ("t", "insert", {"id": "1", "n": "b"}, 2), ("f", "insert", {"id": "7", "y": "-"}, 3), ("f", "insert", {}, 4)], schema).write.parquet(str(folder))
     jobs.change_job(stream(), config, out, cp).awaitTermination()
     assert [tuple(r) for r in sinks.current(spark, f"{out}/dim_t")[1].collect()] == [("1", "b")]
-    assert [r["value"] for r in spark.read.parquet(f"{out}/facts").collect()] == ['{"id":"7"}']
+    assert [(r["sink_table"], r["value"]) for r in spark.read.parquet(f"{out}/facts").collect()] == [("dwd_f", '{"id":"7"}')]
+    with pytest.raises(ValueError, match="orders them"):
+        jobs.change_job(stream().drop("offset"), config, out, cp)
     routes[0] = routes[0][:1]
     spark.createDataFrame([("t", "insert", {"id": "2", "n": "c"}, 5), ("f", "insert", {"id": "8"}, 6)], schema).write.mode("append").parquet(str(folder))
     jobs.change_job(stream(), config, out, cp).awaitTermination()
@@ -138,7 +140,7 @@ def test_summary_job(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = spark.read.parquet(str(tmp_path / "k")).collect()
-    assert [(r["keyword"], r["ct"], str(r["day"])) for r in got] == [("w", 2, "2024-01-01")]
+    assert [(r["keyword"], r["ct"], str(r["day"])) for r in got] == [("w", 2, "2024-01-01")] and got[0]["ts"] > 0
 
 
 def test_json_view_in_sql(spark):

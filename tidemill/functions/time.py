@@ -22,6 +22,16 @@ def to_millis(text) -> Column:
     return F.unix_millis(F.try_to_timestamp(text, F.lit(SECONDS)))
 
 
+def to_millis_at(text, offset: str = "+08:00") -> Column:
+    """Epoch milliseconds of such text as the clock of a fixed offset shows it, whatever the session's zone."""
+    return F.unix_millis(F.try_to_timestamp(F.concat(F.col(text) if isinstance(text, str) else text, F.lit(offset)), F.lit(SECONDS + "XXX")))
+
+
+def processing_millis() -> Column:
+    """Epoch milliseconds of the time of processing, in whole seconds."""
+    return F.unix_timestamp() * 1000
+
+
 def shown(ts) -> Column:
     return F.date_format(ts, SECONDS)
 

@@ -26,18 +26,40 @@ def parsed(raw: DataFrame, schema: str = LOG, value: str = "value") -> DataFrame
     return raw.withColumn("doc", doc).withColumn("dirty", F.col("doc").isNull() | F.col(f"doc.{CORRUPT}").isNotNull())
 
 
+def complete() -> Column:
+    """Whether a parsed log has a ``common`` part and a ``start`` or a ``page``."""
+    return F.col("doc.common").isNotNull() & (F.col("doc.page").isNotNull() | F.col("doc.start").isNotNull())
+
+
 def split_dirty(raw: DataFrame, value: str = "value", required: Column | None = None) -> Split:
-    """Rows that are no JSON object, or lack what is required, apart from the others.
+    """Rows that are no JSON object, or lack what is required (as ``complete``), apart from the others.
 
-    By default a log needs a ``common`` part and a ``start`` or a ``page``.
+    Clean rows keep their text, with fields that the schema does not name.
     """
     rows = parsed(raw, value=value)
-    need = required if required is not None else F.col("doc.common").isNotNull() & (F.col("doc.page").isNotNull() | F.col("doc.start").isNotNull())
-    rows = rows.withColumn("dirty", F.col("dirty") | ~F.coalesce(need, F.lit(False)))
-    clean = rows.where(~F.col("dirty")).select(*[c for c in raw.columns if c != value], "doc.*").drop(CORRUPT)
+    # a document that is no object has no key; the schema's parser would take it for one of nulls
+    rows = rows.withColumn("dirty", F.col("dirty") | F.json_object_keys(value).isNull())
+    if required is not None:
+        rows = rows.withColumn("dirty", F.col("dirty") | ~F.coalesce(required, F.lit(False)))
+    clean = rows.where(~F.col("dirty")).select(*raw.columns, "doc.*").drop(CORRUPT)
     return Split(clean, rows.where("dirty").select(*raw.columns))
 
 
+def fixed_text(value: Column | str, flag: Column | str) -> Column:
+    """The text of a log with its new-visitor flag set to ``flag``; all else stays as it was."""
+    flag = F.col(flag) if isinstance(flag, str) else flag
+    return F.regexp_replace(value, F.lit(r'("is_new"\s*:\s*)"[^"]*"'), F.concat(F.lit('$1"'), flag, F.lit('"')))
+
+
+def display_texts(page_logs: DataFrame, value: str = "value") -> DataFrame:
+    """{common, page, ts, display} as text for each display of whole page logs; no field of any part is lost."""
+    doc = F.from_json(value, "common string, page string, displays array<string>, ts bigint")
+    rows = page_logs.select(doc.alias("doc")).select("doc.common", "doc.page", "doc.ts", F.explode("doc.displays").alias("display"))
+    part = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f'"{name}":'), x))
+    parts = [part(c, F.col(c).cast("string")) for c in ("common", "page", "ts", "display")]
+    return rows.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("value"))
+
+
 def repair_is_new(logs: DataFrame, key: Column | str, flag: Column | str, order: list[str]) -> DataFrame:
     """logs with ``is_new_fixed``: of the rows of a key that claim to be new, only the first in ``order`` stays so.
 

@@ -21,7 +21,7 @@ def envelope(records: DataFrame, topic: str = "topic", op: str = "op", before: s
     parts = F.split(topic, r"\.")
     empty = F.expr("cast(map() as map<string,string>)")
     return records.select(
-        parts[1].alias("database"), parts[2].alias("table"), operation(op, read_as_insert).alias("type"),
+        F.get(parts, F.lit(1)).alias("database"), F.get(parts, F.lit(2)).alias("table"), operation(op, read_as_insert).alias("type"),
         F.coalesce(after, empty).alias("data"), F.coalesce(before, empty).alias("before-data"),
     )
 
@@ -67,6 +67,20 @@ def config_conflicts(config: DataFrame) -> DataFrame:
     return config.groupBy("source_table", "operate_type").count().where("count > 1")
 
 
+def checked(config: DataFrame) -> DataFrame:
+    """The configuration, if its key (source_table, operate_type) is one."""
+    if conflicts := config_conflicts(config).select("source_table", "operate_type").limit(5).collect():
+        raise ValueError(f"routes given more than once: {[tuple(r) for r in conflicts]}")
+    return config
+
+
+def replayed(snapshot: DataFrame, changes: DataFrame, keys: list[str], order: list[str], kind: str = "type") -> DataFrame:
+    """A table as it is after its changes: rows of the snapshot, replaced or removed by the last change of their key."""
+    last = latest(changes, keys, order)
+    rest = snapshot.join(last.select(*keys), keys, "left_anti").select(*snapshot.columns)
+    return rest.unionByName(last.where(F.col(kind) != "delete").select(*snapshot.columns))
+
+
 def dimension_schema(sink_columns: str, sink_pk: str | None = None) -> StructType:
     """All columns are strings; the primary key, ``id`` by default, may not be null."""
     key = sink_pk or "id"

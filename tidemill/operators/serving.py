@@ -13,8 +13,10 @@ from ..schemas import KEYWORD_WEIGHTS
 
 
 def on_date(stats: DataFrame, date: int | None = None, stt: str = "stt") -> DataFrame:
-    """Rows of a day, yyyymmdd; 0 or None is today. A range on stt, which statistics and partitions can serve."""
+    """Rows of a day, yyyymmdd; 0 or None is today. A range on stt, and the day of tables that are partitioned by it."""
     day = dt.datetime.strptime(str(date), "%Y%m%d") if date else dt.datetime.combine(dt.date.today(), dt.time())
+    if "day" in stats.columns:  # the table's partitions
+        stats = stats.where(F.col("day") == F.lit(day.strftime("%Y-%m-%d")).cast(dict(stats.dtypes)["day"]))
     low, high = (d.strftime("%Y-%m-%d %H:%M:%S") for d in (day, day + dt.timedelta(days=1)))
     if dict(stats.dtypes)[stt] == "string":
         return stats.where((F.col(stt) >= low) & (F.col(stt) < high))

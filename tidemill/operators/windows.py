@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import window_bounds
+from ..functions.time import processing_millis, window_bounds
 from .joins import enrich
 from .measures import ORDERS, PRODUCT, VISITOR, VISITOR_KEYS
 from .wide import product_names
@@ -56,6 +56,16 @@ def province_window(wide: DataFrame, length: str = "10 seconds", amount: str = "
     return agg.select(*window_bounds(), *keys, "order_amount", "order_count")
 
 
+def province_rows(wide: DataFrame) -> DataFrame:
+    """A row for each detail of a wide order: its own amount, and 1 as the count."""
+    return wide.select(*PROVINCE_KEYS, "event_time", F.col("split_total_amount").alias("order_amount"), F.lit(1).cast("bigint").alias("order_count"))
+
+
+def stamped(rows: DataFrame) -> DataFrame:
+    """rows with ``ts``, the time of processing, if they have none."""
+    return rows if "ts" in rows.columns else rows.withColumn("ts", processing_millis())
+
+
 def keyword_window(words: DataFrame, source: str, length: str = "10 seconds", word: str = "word") -> DataFrame:
     agg = words.groupBy(F.window("event_time", length), F.col(word).alias("keyword")).agg(F.count(F.lit(1)).alias("ct"))
     return agg.select("keyword", "ct", F.lit(source).alias("source"), *window_bounds())

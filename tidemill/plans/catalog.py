@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import names, text
 from ..functions import time as t
 from ..operators import joins, logs, measures, routing, serving, visits, wide, windows
 from ..schemas import KEYWORD_SOURCE
@@ -137,8 +137,10 @@ def _product_rows(spark, sf) -> DataFrame:
     pages = e.where(~F.col("is_start"))
     item = F.col("page.item").cast("bigint")
     facts = pages.select(item.alias("sku_id"), F.lit(3).cast("bigint").alias("sku_num"), F.col("event_id").alias("order_id"), F.col("page.during_time").cast("decimal(16,2)").alias("refund_amount"), F.when(item % 2 == 0, "1201").otherwise("1204").alias("appraise"), "event_time", F.col("common.ar").alias("kind"))
-    w = _wide(spark, sf).withColumn("event_time", F.col("detail_time"))
-    p = wide.payment_wide(s.payment_info(spark, sf), _wide(spark, sf), "-30 days").withColumn("event_time", F.col("payment_time"))
+    # names are looked up after aggregation, so neither needs the dimensions of a wide order
+    details = _order_detail(spark, sf)
+    w = details.withColumn("event_time", F.col("detail_time"))
+    p = wide.payment_wide(s.payment_info(spark, sf), details, "-30 days").withColumn("event_time", F.col("payment_time"))
     return measures.united(
         measures.clicks(pages), measures.display_rows(pages), measures.favors(facts.where("kind = 'view'")), measures.carts(facts.where("kind = 'purchase'")),
         measures.ordered(w), measures.paid(p), measures.refunds(facts.where("kind = 'error'")), measures.comments(facts.where("kind = 'view'")),
@@ -186,9 +188,32 @@ _SALES = f"""{_O}, sales AS (
 DAY = 19950617
 
 
-def _sales(spark, sf, day="1995-06-17") -> DataFrame:
-    """product_stats of a day's orders alone, each detail at its order's time; windows are days, so the scan can pick the day."""
-    o, d = s.order_info(spark, sf, day), s.order_detail(spark, sf).drop("event_time")
+_kept: dict[tuple, DataFrame] = {}
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the cluster's shared one; of this machine only where none is named."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp()}/{name}"
+
+
+def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A summary as the dashboard finds it: stored whole, once a session and input, in the order of time, so that a day is a few row groups."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _kept:
+        path = _folder(spark, name)
+        build(spark, sf).repartitionByRange("stt").sortWithinPartitions("stt").write.parquet(path)
+        _kept[key] = spark.read.parquet(path)
+    return _kept[key]
+
+
+def _sales(spark, sf) -> DataFrame:
+    """product_stats of all orders, each detail at its order's time, stored."""
+    return _stored(spark, sf, "sales", _all_sales)
+
+
+def _all_sales(spark, sf) -> DataFrame:
+    o, d = s.order_info(spark, sf), s.order_detail(spark, sf).drop("event_time")
     rows = o.select(F.col("id").alias("_order"), "total_amount", "event_time").join(d, F.col("_order") == F.col("order_id"))
     return windows.product_stats(measures.ordered(rows), s.dimensions(spark, sf), "1 day")
 
@@ -215,7 +240,7 @@ def gmv(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(0 AS DECIMAL(36,2)) AS order_amount")
 def gmv_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.gmv(_sales(spark, sf, "1901-01-01"), 19010101)
+    return serving.gmv(_sales(spark, sf), 19010101)
 
 
 def _top_sql(keys: str, more: str = "") -> str:
@@ -310,6 +335,10 @@ def _visitor_stats(spark, sf) -> DataFrame:
     return windows.visitor_window(rows, "1 hour")
 
 
+def _stored_visitors(spark, sf) -> DataFrame:
+    return _stored(spark, sf, "visitors", _visitor_stats)
+
+
 @query(f"WITH {_LOG}, {_UV} SELECT event_id, mid, strftime(ts, '%Y-%m-%d') AS day FROM uv")
 def unique_visit_daily(spark: SparkSession, sf: str) -> DataFrame:
     return _unique(spark, sf).select("event_id", "mid", F.date_format("event_time", "yyyy-MM-dd").alias("day"))
@@ -332,7 +361,7 @@ _BY_NEW = f"WITH {_VISITORS}, n AS (SELECT is_new, CAST(sum(uv_ct) AS BIGINT) AS
 
 @query(f"{_BY_NEW} SELECT * FROM n")
 def visitor_by_new(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.visitors_by_new(_visitor_stats(spark, sf), VISIT_DAY)
+    return serving.visitors_by_new(_stored_visitors(spark, sf), VISIT_DAY)
 
 
 def _half_up(top: str, digits: int) -> str:
@@ -343,7 +372,7 @@ def _half_up(top: str, digits: int) -> str:
 
 @query(f"{_BY_NEW} SELECT *, CAST(CAST({_half_up('uj_ct * 100', 2)} AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS uj_rate, CAST(CAST((({_half_up('dur_sum', 0)}) + 50) // 100 AS DECIMAL(20,1)) / 10 AS DECIMAL(20,1)) AS dur_per_sv, CAST(CAST({_half_up('pv_ct', 2)} AS DECIMAL(20,2)) / 100 AS DECIMAL(20,2)) AS pv_per_sv FROM n")
 def visitor_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.visitor_ratios(_visitor_stats(spark, sf), VISIT_DAY)
+    return serving.visitor_ratios(_stored_visitors(spark, sf), VISIT_DAY)
 
 
 _HOURS = f"WITH {_VISITORS}, h AS (SELECT CAST(substr(stt, 12, 2) AS INTEGER) AS hr, CAST(sum(uv_ct) AS BIGINT) AS uv_ct, CAST(sum(pv_ct) AS BIGINT) AS pv_ct, CAST(sum(CASE WHEN is_new = '1' THEN uv_ct ELSE 0 END) AS BIGINT) AS new_uv FROM vs WHERE {_VISIT_SQL} GROUP BY 1)"
@@ -351,12 +380,12 @@ _HOURS = f"WITH {_VISITORS}, h AS (SELECT CAST(substr(stt, 12, 2) AS INTEGER) AS
 
 @query(f"{_HOURS} SELECT * FROM h ORDER BY hr")
 def visitor_by_hour(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.visitors_by_hour(_visitor_stats(spark, sf), VISIT_DAY)
+    return serving.visitors_by_hour(_stored_visitors(spark, sf), VISIT_DAY)
 
 
 @query(f"{_HOURS} SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS hr, coalesce(uv_ct, 0) AS uv_ct, coalesce(pv_ct, 0) AS pv_ct, coalesce(new_uv, 0) AS new_uv FROM range(24) t(i) LEFT JOIN h ON hr = i")
 def hour_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.visitors_by_hour(_visitor_stats(spark, sf), VISIT_DAY, dense=True)
+    return serving.visitors_by_hour(_stored_visitors(spark, sf), VISIT_DAY, dense=True)
 
 
 # Logs.
@@ -515,8 +544,7 @@ def dim_latest_upsert(spark: SparkSession, sf: str) -> DataFrame:
 def _run(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is and hands back its result, kept as files; of complete results, the last one."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp()}"
+    folder = _folder(spark, "stream")
     numbers_: list[int] = []
 
     def step(batch: DataFrame, number: int) -> None:
@@ -536,11 +564,12 @@ def _stream(spark, sf, name: str) -> DataFrame:
     return streams.table_files(spark, sf, schema, f"{name}.parquet")
 
 
-@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS stt, count(*) AS pv_ct, CAST(sum(trunc(value)) AS BIGINT) AS dur_sum FROM events GROUP BY ALL")
+@query("SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS stt, count(*) AS pv_ct, CAST(sum(trunc(value)) AS BIGINT) AS dur_sum FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events) GROUP BY ALL")
 def stream_visitor_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows that the watermark has closed; their state is given up and later rows of theirs would be dropped."""
     e = _stream(spark, sf, "events").withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", "10 seconds")
     agg = e.groupBy(F.window("event_time", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("pv_ct"), F.sum(F.col("value").cast("bigint")).alias("dur_sum"))
-    return _run(agg.select("event_type", t.shown(F.col("window.start")).alias("stt"), "pv_ct", "dur_sum"), "complete")
+    return _run(agg.select("event_type", t.shown(F.col("window.start")).alias("stt"), "pv_ct", "dur_sum"))
 
 
 @query(f"SELECT o_orderkey AS order_id, l_linenumber AS detail_id, l_partkey AS sku_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate - INTERVAL 5 DAY AND l_shipdate <= o_orderdate + INTERVAL 5 DAY")
@@ -564,3 +593,87 @@ def stream_is_new_fix(spark: SparkSession, sf: str) -> DataFrame:
     flag = F.when(F.col("event_type").isin("signup", "view"), "1").otherwise("0")
     out = stateful.repair_is_new(e, F.col("user_id"), flag, F.unix_micros(F.col("ts").cast("timestamp")), F.lpad(F.col("event_id").cast("string"), 20, "0"))
     return _run(out).select(F.col("value").cast("bigint").alias("event_id"), F.col("key").alias("mid"), "is_new_fixed")
+
+
+_MARK = "(SELECT max(ts) - INTERVAL 1 SECOND FROM e WHERE event_type <> 'signup')"
+
+
+@query(f"WITH {_LOG}, {_UJ} SELECT event_id, mid FROM uj WHERE next_ts <= {_MARK} OR ts + INTERVAL 1 HOUR <= {_MARK}")
+def stream_user_jump(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounces that the watermark has decided."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = _stream(spark, sf, "events").where("event_type <> 'signup'").withColumn("event_time", F.col("ts").cast("timestamp"))
+    out = stateful.jumps(e, F.col("user_id"), "event_time", F.col("event_type") == "view", F.lpad(F.col("event_id").cast("string"), 20, "0"), 3600)
+    return _run(out).select(F.col("value").cast("bigint").alias("event_id"), F.col("key").alias("mid"))
+
+
+# Names, tables and answers.
+
+
+@query('SELECT n_nationkey AS "nNationkey", n_name AS "nName", n_regionkey AS "nRegionkey" FROM nation')
+def camel_names(spark: SparkSession, sf: str) -> DataFrame:
+    return names.camel_columns(s.table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+@query("SELECT p_brand AS keyword, CAST(sum(p_size) AS BIGINT) AS ct FROM part GROUP BY p_brand")
+def json_view_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL over JSON text that is registered as a view with an event time."""
+    rows = s.table(spark, sf, "part").select(F.col("p_brand").alias("keyword"), F.col("p_size").alias("ct"), F.lit("2024-01-01 00:00:03").alias("stt"))
+    streams.json_view(streams.as_json(rows), "keyword_stats", "tidemill_keywords", F.to_timestamp("stt"))
+    return spark.sql("select keyword, sum(ct) as ct from tidemill_keywords group by keyword, window(rowtime, '10 seconds')")
+
+
+@query("SELECT CAST(sum(CAST(p_retailprice AS DECIMAL(16,2))) AS DECIMAL(36,2)) AS order_amount FROM part")
+def gmv_of_today(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a date the dashboard asks for today."""
+    part = s.table(spark, sf, "part")
+    return serving.gmv(part.select(F.date_format(F.current_date(), "yyyy-MM-dd 00:00:00").alias("stt"), F.col("p_retailprice").cast("decimal(16,2)").alias("order_amount")))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+def dimension_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A dimension's table, made from its configured columns and filled with text."""
+    table = f"tidemill_dim_{uuid.uuid4().hex}"
+    routing.create_dimension(spark, table, "id,name", None, f"LOCATION '{_folder(spark, 'dimension')}'")
+    s.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).write.insertInto(table)
+    return spark.table(table)
+
+
+@query("SELECT CASE WHEN event_id % 3 = 2 THEN 'read' WHEN event_id % 3 = 1 THEN 'insert' ELSE 'delete' END AS type, event_type AS \"table\", CAST(event_id AS VARCHAR) AS id FROM events")
+def change_records_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Change records as JSON text, bare and in a payload, as envelopes."""
+    e = s.table(spark, sf, "events")
+    op = F.when(F.col("event_id") % 3 == 0, "d").when(F.col("event_id") % 3 == 1, "c").otherwise("r")
+    image = F.struct(F.col("event_id").alias("id"), "user_id")
+    record = F.struct(F.when(op == "d", image).alias("before"), F.when(op != "d", image).alias("after"), F.struct(F.lit("shop").alias("db"), F.col("event_type").alias("table")).alias("source"), op.alias("op"))
+    text_ = F.when(F.col("event_id") % 2 == 0, F.to_json(record)).otherwise(F.to_json(F.struct(record.alias("payload"))))
+    rows = routing.envelope(streams.change_records(e.select(text_.alias("value")).unionByName(e.limit(1).select(F.lit("{}").alias("value")))))
+    return rows.select("type", "table", F.coalesce(F.col("data")["id"], F.col("before-data")["id"]).alias("id"))
+
+
+@query(f"WITH {_SALES} SELECT 0 AS status, CAST(sum(order_amount) AS DOUBLE) AS data FROM sales WHERE {_DAY_SQL}")
+def answer_gmv(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([serving.gmv_answer(serving.gmv(_sales(spark, sf), DAY))], "status int, data double")
+
+
+def _top_answer_sql(keys: str, name: str) -> str:
+    return f"SELECT {name} AS name, CAST(order_amount AS DOUBLE) AS value FROM ({_top_sql(keys)})"
+
+
+@query(_top_answer_sql("tm_id, tm_name", "tm_name"))
+def answer_trademark(spark: SparkSession, sf: str) -> DataFrame:
+    data = serving.bar_answer(serving.top_trademarks(_sales(spark, sf), DAY))["data"]
+    return spark.createDataFrame(list(zip(data["categories"], data["series"][0]["data"], strict=True)), "name string, value double")
+
+
+@query(_top_answer_sql("category3_id, category3_name", "category3_name"))
+def answer_category3(spark: SparkSession, sf: str) -> DataFrame:
+    data = serving.pairs_answer(serving.top_categories(_sales(spark, sf), DAY), "category3_name", "order_amount")["data"]
+    return spark.createDataFrame([(x["name"], x["value"]) for x in data], "name string, value double")
+
+
+@query(f"{_HOURS} SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS hr, CAST(coalesce(uv_ct, 0) AS DOUBLE) AS uv, CAST(coalesce(pv_ct, 0) AS DOUBLE) AS pv FROM range(24) t(i) LEFT JOIN h ON hr = i")
+def answer_hours(spark: SparkSession, sf: str) -> DataFrame:
+    data = serving.hours_answer(serving.visitors_by_hour(_stored_visitors(spark, sf), VISIT_DAY, dense=True))["data"]
+    uv, pv = (x["data"] for x in data["series"][:2])
+    return spark.createDataFrame([(h, float(a), float(b)) for h, a, b in zip(data["categories"], uv, pv, strict=True)], "hr string, uv double, pv double")

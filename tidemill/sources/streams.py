@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+from collections.abc import Callable
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +57,34 @@ def json_view(rows: DataFrame, table: str, name: str, rowtime, delay: str = "1 s
     return view
 
 
+#: Operations of change records by their letters.
+OPERATIONS = {"c": "create", "u": "update", "d": "delete", "r": "read"}
+
+
+def change_records(rows: DataFrame, server: str = "server", value: str = "value") -> DataFrame:
+    """Change records in Debezium's JSON, bare or in a ``payload``: (topic, op, before, after, ts_ms), other columns kept.
+
+    topic is server.database.table, images are maps of text; what is no change
+    record (a tombstone, a heartbeat) is left out. ``envelope`` takes it from here.
+    """
+    image = "map<string,string>"
+    record = f"before {image}, after {image}, source struct<db: string, `table`: string>, op string, ts_ms bigint"
+    doc = F.from_json(value, f"{record}, payload struct<before: {image}, after: {image}, source: struct<db: string, `table`: string>, op: string, ts_ms: bigint>")
+    rows = rows.withColumn("_doc", doc)
+    own = {c: F.coalesce(f"_doc.payload.{c}", f"_doc.{c}") for c in ("before", "after", "source", "op", "ts_ms")}
+    kept = [c for c in rows.columns if c not in (value, "_doc", "topic", "op", "before", "after", "ts_ms")]
+    rows = rows.select(*kept, *[x.alias(c) for c, x in own.items()]).where("op is not null and source is not null")
+    name = F.coalesce(*[F.when(F.col("op") == k, F.lit(v)) for k, v in OPERATIONS.items()], F.col("op"))
+    return rows.select(*kept, F.concat_ws(".", F.lit(server), "source.db", "source.table").alias("topic"), name.alias("op"), "before", "after", "ts_ms")
+
+
+def snapshot_records(rows: DataFrame, database: str, table: str, server: str = "server") -> DataFrame:
+    """A table's rows as a snapshot's records (op read), to go before its changes."""
+    image = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in rows.columns]), lambda x: x["v"].isNotNull()))
+    none = F.lit(None).cast("map<string,string>")
+    return rows.select(F.lit(f"{server}.{database}.{table}").alias("topic"), F.lit("read").alias("op"), none.alias("before"), image.alias("after"), F.lit(None).cast("bigint").alias("ts_ms"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
     """Each row as one JSON text, nulls left out."""
     return rows.select(F.to_json(F.struct("*")).alias("value"))
@@ -68,6 +100,35 @@ def jdbc_table(spark: SparkSession, url: str, query: str, camel: bool = False, *
     return camel_columns(rows) if camel else lower_columns(rows)
 
 
+def collector(folder: str, port: int = 0, forward: Callable[[str], None] | None = None) -> HTTPServer:
+    """A server for ``/applog?param=<json>`` (GET or POST): each document goes to today's landing file and to ``forward``.
+
+    ``serve_forever`` runs it; port 0 picks a free one.
+    """
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = urlsplit(self.path)
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode() if self.command == "POST" else ""
+            text = (parse_qs(url.query).get("param") or parse_qs(body).get("param") or [None])[0]
+            if url.path != "/applog" or text is None:
+                self.send_error(404)
+                return
+            answer = collect_log(folder, text, dt.date.today().isoformat())
+            if forward:
+                forward(text)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer.encode())
+
+        do_POST = do_GET
+
+        def log_message(self, *_):
+            pass
+
+    return HTTPServer(("127.0.0.1", port), Handler)
+
+
 def collect_log(folder: str, text: str, day: str) -> str:
     """A collector's action for one request: appends the document to the day's landing file and answers."""
     target = Path(folder) / f"day={day}"
