@@ -47,17 +47,26 @@ def counts(column: pa.Array, orders: tuple[int, ...], lower: bool = True, bits:
 
 def sums(column: pa.Array, orders: tuple[int, ...], idf: np.ndarray, weights: np.ndarray, lower: bool = True, bits: int = DIM_BITS) -> np.ndarray:
     """For each text, its TF-IDF row (as ``tfidf`` has it) times the weights; a row of zeros for a text without n-grams."""
-    both = list(counts(column, orders, lower, bits))
-    sizes = np.array([len(at) for at, _ in both], np.int64)
-    out = np.zeros((len(both), weights.shape[1]), np.float32)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        at, n = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+    out, rows, spent = np.zeros((len(column), weights.shape[1]), np.float32), [], 0
+
+    def flush():
+        if not rows:
+            return
+        at, n = (np.concatenate([x[i] for x in rows]) for i in (1, 2))
+        sizes = np.array([len(x[1]) for x in rows])
         x = (1 + np.log(n, dtype=np.float32)) * idf[at]
-        heads = (np.cumsum(sizes) - sizes)[full]
+        heads = np.cumsum(sizes) - sizes
         length = np.sqrt(np.add.reduceat(x * x, heads))
-        scaled = np.add.reduceat(x[:, None] * weights[at], heads, axis=0)
-        out[full] = scaled / np.where(length > 0, length, 1)[:, None]
+        out[[k for k, _, _ in rows]] = np.add.reduceat(x[:, None] * weights[at], heads, axis=0) / np.where(length > 0, length, 1)[:, None]
+
+    for k, (at, n) in enumerate(counts(column, orders, lower, bits)):
+        if len(at):
+            rows.append((k, at, n))
+            spent += len(at)
+        if spent > 1 << 18:
+            flush()
+            rows, spent = [], 0
+    flush()
     return out
 
 
