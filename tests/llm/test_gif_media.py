@@ -54,7 +54,9 @@ def test_lzw_is_the_textbook_one(k):
 def test_payload_round_trip(k):
     data = payloads()[k]
     frames = g.decode(g.encode(data))
-    assert g.samples(frames) == data and g.histogram(frames).sum() == len(data)
+    assert b"".join(map(g.samples, frames)) == data
+    want = np.bincount(np.frombuffer(data, np.uint8) >> 4, minlength=16).tolist()
+    assert sum(map(g.histogram, frames)).tolist() == [want] * 3
     assert len(frames) == -(-len(data) // 65_536) and all(f.delay == g.DELAY for f in frames)
 
 
@@ -138,3 +140,60 @@ def test_table_of_media(spark):
         assert r["media_sha256"] == hashlib.sha256(g.encode(p)).hexdigest()
     assert got[3].asDict() | {"doc_id": 5} == got[5].asDict() and got[4]["n_frames"] == 2
     assert g.read_media(g.store_media(df.limit(0))).count() == 0
+
+
+def test_histogram_of_each_colour_counts_what_is_opaque():
+    got = g.decode(gif(frame([1] * 8, 0, 0, 2, 4), frame([2, 3], 0, 0, 2, 1), frame([2, 3], 0, 1, 2, 1, clear=2)))
+    assert [g.histogram(f)[:, [0, 15]].tolist() for f in got] == [[[0, 8], [8, 0], [8, 0]], [[2, 0], [1, 1], [1, 1]], [[1, 1], [2, 0], [1, 1]]]
+    alone = g.decode(gif(frame([2, 3], 0, 0, 2, 1, clear=2)))[0]
+    assert g.histogram(alone).sum() == 3 and g.histogram(alone)[2, 15] == 1
+
+
+def test_broken_files_are_rows_with_a_reason(spark):
+    good = gif(frame([1] * 8, 0, 0, 2, 4), frame([2, 3], 0, 1, 2, 1))
+    long = g.encode(g.payload_of(b"some text " * 90))
+    for whole in (good, long):
+        for n in range(len(whole)):
+            with pytest.raises(ValueError):
+                g.decode(whole[:n])
+    rng = random.Random(7)
+    for _ in range(2000):  # any bytes decode or end in a ValueError
+        data = bytearray(good)
+        for _ in range(rng.randint(1, 4)):
+            data[rng.randrange(10, len(data))] = rng.randrange(256)
+        try:
+            g.decode(bytes(data))
+        except ValueError:
+            pass
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    files = [(1, good), (2, good[:-1]), (3, None), (4, b"no picture"), (5, b""), (None, good), (1, good), (6, huge)]
+    df = spark.createDataFrame([(i, x, len(x or b""), "x") for i, x in files], "doc_id long, media binary, n_bytes int, red string")
+    got = g.read_media(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in files)
+    for r in got:
+        whole = r["doc_id"] in (1, None)
+        assert (r["error"] is None) == whole and (r["n_frames"] == 2) == whole and (r["payload_sha256"] is None) != whole
+        assert (r["media_sha256"] is None) == (r["doc_id"] == 3)
+    table = g.frames_of(df).collect()
+    by = {}
+    for r in table:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert [len(by[i]) for i in (1, 2, 3, 4, 5, 6, None)] == [4, 3, 1, 1, 1, 1, 2]
+    first, second = sorted(by[None], key=lambda r: r["frame"])
+    assert (first["start_ms"], first["shown_ms"], second["start_ms"], second["top"], second["height"]) == (0, 50, 50, 1, 1)
+    assert bytes(second["pixels"]) == bytes([0, 255, 0, 255, 0, 0, 255, 255]) and second["blue"][15] == 1
+    assert [r["error"] is None for r in sorted(by[2], key=lambda r: r["frame"] is None)] == [True, True, False]
+    assert g.frames_of(df.limit(0)).count() == 0
+
+
+def test_feature_of_the_query_is_what_the_payload_holds(spark, tmp_path):
+    from tidemill.llm.queries import op4_gif_media
+
+    texts = [None, "", "abc", "é\n" * 50_000, "abc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["feature"] for r in op4_gif_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        p = g.payload_of((t or "").encode())
+        frames = -(-len(p) // 65_536)
+        bins = ",".join(map(str, np.bincount(np.frombuffer(p, np.uint8) >> 4, minlength=16)))
+        assert got[i] == f"frames={frames};ms={100 * frames};red={bins};green={bins};blue={bins}"

@@ -10,7 +10,19 @@ LZW is decoded without a dictionary of strings. The entry that a code adds is
 the output of that code and one sample more, so every code is a copy of
 earlier output: lengths and source positions follow by pointer doubling.
 
-Defined results: a null text is an empty payload, stored as 64 zero bytes.
+``frames_of`` gives a row a frame, with its time, rectangle, samples and a
+histogram of each colour; ``read_media`` a row a file. Frames are played one
+at a time on one canvas, so a file of many frames holds no more than one.
+
+Defined results: a null or empty text is an empty payload, stored as 64 zero
+bytes; equal texts are equal files; rows that repeat an id are files of their
+own, null ids too; very long texts are read whole, as more frames; an empty
+table gives an empty result; other columns, whatever their names, are not
+looked at; ids must be whole numbers or null. A file that is no GIF, is cut
+off, is null, or has a canvas or frame of more than ``MOST_PIXELS`` fails
+nothing else: its row has the reason in ``error`` and nulls for all that is
+decoded, and ``frames_of`` gives the frames before the fault and then a row
+with the reason and no frame.
 """
 
 from __future__ import annotations
@@ -18,21 +30,25 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import as_binary, batch_of, map_slices
+from .arrowtext import as_binary, batch_of, map_batches, map_slices
 
 WIDTH = 64
 #: Rows of a frame at most.
 ROWS = 1024
 #: Hundredths of a second that a frame is shown.
 DELAY = 10
+#: Bins of a colour's histogram.
 BINS = 16
+#: Pixels of the largest canvas or frame that is decoded.
+MOST_PIXELS = 1 << 26
 
 
 def _widths(n: int, size: int) -> np.ndarray:
@@ -187,16 +203,29 @@ def encode(payload: bytes, delay: int = DELAY) -> bytes:
 
 def decode(data: bytes) -> list[Frame]:
     """The composed frames of any GIF."""
+    return [replace(f, canvas=f.canvas.copy()) for f in played(data)]
+
+
+def played(data: bytes) -> Iterator[Frame]:
+    """The frames one after the other; all share one canvas, which the next frame changes. ValueError: not a whole GIF."""
+    try:
+        yield from _played(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("a GIF that is cut off") from e
+
+
+def _played(data: bytes) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
-    width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
+    width, height, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError("a canvas that is too large")
     at, palette = 13, None
     if flags & 0x80:
         palette, at = _palette(data, at, flags)
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[Frame] = []
     disposal, delay, clear = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
+    while data[at] != 0x3B:
         if data[at] == 0x21:
             label, at = data[at + 1], at + 2
             body, at = _joined(data, at)
@@ -207,10 +236,14 @@ def decode(data: bytes) -> list[Frame]:
         if data[at] != 0x2C:
             raise ValueError("unknown block in a GIF")
         left, top, w, h, own = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        if w * h > MOST_PIXELS:
+            raise ValueError("a frame that is too large")
         at, local = at + 10, palette
         if own & 0x80:
             local, at = _palette(data, at, own)
         size = data[at]
+        if not 2 <= size <= 8:
+            raise ValueError("an LZW code size that GIF does not have")
         body, at = _joined(data, at + 1)
         index = lzw_decode(body, size, w * h).reshape(h, w)
         if own & 0x40:
@@ -228,23 +261,26 @@ def decode(data: bytes) -> list[Frame]:
         else:
             opaque = shown != clear
             seen[opaque] = colours[shown[opaque]]
-        frames.append(Frame(canvas.copy(), left, top, w, h, delay))
+        yield Frame(canvas, left, top, w, h, delay)
         if disposal == 2:
             canvas[top : top + h, left : left + w] = 0
         elif disposal == 3:
-            canvas = before
+            canvas[:] = before
         disposal, delay, clear = 0, 0, None
-    return frames
 
 
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
     n = 2 << (flags & 7)
+    if len(data) < at + 3 * n:
+        raise ValueError("a GIF that is cut off")
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
 def _joined(data: bytes, at: int) -> tuple[bytes, int]:
     out = []
     while data[at]:
+        if len(data) <= at + data[at]:
+            raise ValueError("a GIF that is cut off")
         out.append(data[at + 1 : at + 1 + data[at]])
         at += 1 + data[at]
     return b"".join(out), at + 1
@@ -255,19 +291,25 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % WIDTH or (0 if text else WIDTH))
 
 
-def samples(frames: list[Frame]) -> bytes:
-    """The red samples of the frames' own rectangles: what ``encode`` stored."""
-    return b"".join(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes() for f in frames)
+def samples(frame: Frame) -> bytes:
+    """The red samples of the frame's own rectangle: what ``encode`` stored."""
+    return _own(frame)[..., 0].tobytes()
 
 
-def histogram(frames: list[Frame], bins: int = BINS) -> np.ndarray:
-    """Opaque pixels by luma, in equal bins."""
-    out = np.zeros(bins, np.int64)
-    for f in frames:
-        own = f.canvas[f.top : f.top + f.height, f.left : f.left + f.width]
-        luma = (own[..., 0].astype(np.uint32) * 299 + own[..., 1].astype(np.uint32) * 587 + own[..., 2].astype(np.uint32) * 114) // 1000
-        out += np.bincount((luma[own[..., 3] > 0] * bins // 256).ravel(), minlength=bins)
-    return out
+def _own(frame: Frame) -> np.ndarray:
+    return frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width]
+
+
+def histogram(frame: Frame, bins: int = BINS) -> np.ndarray:
+    """Opaque pixels of the frame's own rectangle by red, by green and by blue: three rows of equal bins."""
+    own = _own(frame)
+    if not (own[..., 3] == 255).all():
+        own = own[own[..., 3] > 0]
+    planes = [np.ascontiguousarray(own[..., c]).ravel() for c in range(3)]
+    counted = [np.bincount(planes[0], minlength=256).reshape(bins, -1).sum(axis=1)]
+    for k in (1, 2):  # a grey frame is counted once
+        counted.append(counted[0] if np.array_equal(planes[k], planes[0]) else np.bincount(planes[k], minlength=256).reshape(bins, -1).sum(axis=1))
+    return np.stack(counted)
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,26 +328,64 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decodes stored GIFs: size and digests of samples and file, frames, milliseconds shown, and the colour histogram."""
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "shown_ms", "histogram"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    """Decodes stored GIFs: size and digests of samples and file, frames, milliseconds shown, a histogram of each colour, and what was wrong."""
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "shown_ms", "red", "green", "blue", "error"]
+    bins = pa.list_(pa.int64())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), bins, bins, bins, pa.string()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
-    def step():
-        def apply(batch):
-            rows = []
-            for data in batch.column(2).to_pylist():
-                frames = decode(data)
-                payload = samples(frames)
-                rows.append(
-                    (
-                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(),
-                        len(frames), 10 * sum(f.delay for f in frames), histogram(frames).tolist(),
-                    )
-                )
-            return batch_of(schema, batch.column(0), batch.column(1), *(list(c) for c in zip(*rows, strict=True)))
-
-        return apply
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (*[None] * 10, "no file")
+        file = len(data), hashlib.sha256(data).hexdigest()
+        digest, n, tail, frames, shown, counts = hashlib.sha256(), 0, b"", 0, 0, np.zeros((3, BINS), np.int64)
+        try:
+            for f in played(data):
+                own = samples(f)
+                digest.update(own)
+                n, tail, frames, shown, counts = n + len(own), (tail + own)[-WIDTH:], frames + 1, shown + 10 * f.delay, counts + histogram(f)
+        except ValueError as e:
+            return (None, None, None, *file, *[None] * 5, str(e))
+        return (n, digest.hexdigest(), zlib.crc32(tail), *file, frames, shown, *counts.tolist(), None)
 
-    ddl = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, shown_ms long, histogram array<long>"
-    return map_slices(media.select(id_col, "n_bytes", "media"), step, ddl, column="media")
+    def step():
+        return lambda batch: batch_of(schema, batch.column(0), batch.column(1), *(list(c) for c in zip(*map(row, batch.column(2).to_pylist()), strict=True)))
+
+    ddl = f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, shown_ms long, red array<long>, green array<long>, blue array<long>, error string"
+    rows = media.select(F.col(id_col).cast("long").alias(id_col), F.col("n_bytes").cast("long").alias("n_bytes"), "media")
+    return map_slices(rows, step, ddl, column="media")
+
+
+def frames_of(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row a frame of every GIF, as it is shown: when and how long, its rectangle, the rectangle's RGBA pixels and a histogram of each colour."""
+    bins = pa.list_(pa.int64())
+    numbers = ["frame", "start_ms", "shown_ms", "left", "top", "width", "height"]
+    schema = pa.schema([(id_col, pa.int64()), *[(c, pa.int64()) for c in numbers], ("pixels", pa.binary()), ("red", bins), ("green", bins), ("blue", bins), ("error", pa.string())])
+
+    def frames(key: int | None, data: bytes | None) -> Iterator[tuple]:
+        at = 0
+        try:
+            if data is None:
+                raise ValueError("no file")
+            for k, f in enumerate(played(data)):
+                yield key, k, at, 10 * f.delay, f.left, f.top, f.width, f.height, _own(f).tobytes(), *histogram(f).tolist(), None
+                at += 10 * f.delay
+        except ValueError as e:
+            yield key, *[None] * 11, str(e)
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for row in frames(key, data.as_py()):
+                    held.append(row)
+                    size += len(row[8] or b"")
+                    if size > 4 << 20:
+                        yield batch_of(schema, *(list(c) for c in zip(*held, strict=True)))
+                        held, size = [], 0
+            if held:
+                yield batch_of(schema, *(list(c) for c in zip(*held, strict=True)))
+
+    longs = ", ".join(f"`{c}` long" for c in [id_col, *numbers])
+    ddl = f"{longs}, pixels binary, red array<long>, green array<long>, blue array<long>, error string"
+    return map_batches(media.select(F.col(id_col).cast("long").alias(id_col), "media"), run, ddl)

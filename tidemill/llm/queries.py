@@ -49,7 +49,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = gif_media.store_media(table(spark, sf_dir, "documents"))
     stored = gif_media.read_media(written(media, "media"))
-    feature = F.concat(F.lit("frames="), F.col("n_frames"), F.lit(";ms="), F.col("shown_ms"), F.lit(";hist="), F.concat_ws(",", F.col("histogram").cast("array<string>")))
+    parts = [F.lit("frames="), F.col("n_frames"), F.lit(";ms="), F.col("shown_ms")]
+    for c in ("red", "green", "blue"):
+        parts += [F.lit(f";{c}="), F.concat_ws(",", F.col(c).cast("array<string>"))]
+    feature = F.concat(*parts)
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
