@@ -118,3 +118,20 @@ def test_empty_and_repeated_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     got = simhash.near_duplicates(spark.createDataFrame([(4, "a b c d", ""), (4, "a b c d", ""), (None, "a b c d", ""), (2, None, "")], SCHEMA)).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in got) == [(-1, 4), (2, 2), (4, 4), (4, 4)]
+
+
+def test_parity_sketches_drop_no_pair_that_is_alike():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 9, 60, 300, 5000):
+        for share in (0.0, 0.02, 0.05, 0.1, 0.11, 0.12, 0.3, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(n * share) :], rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            sketches = [simhash.parity(x.view(np.int64)) for x in (a, b)]
+            assert [x[0] for x in sketches] == [len(a), len(b)]
+            # one bucket of one slot: both rows as the search deals them
+            cols = [np.zeros(2, np.int32), np.zeros(2, np.int64), *[np.zeros(2, np.int32)] * 2, np.zeros(2, np.int64), np.zeros(2, bool), np.array([3, 4]), *np.stack(sketches, axis=1)]
+            got = sum(x.num_rows for x in simhash._verified(cols, np.array([0, 2]), 9, 0.8))
+            assert got or shared < 0.8 * (len(a) + len(b) - shared)
+            if 9 <= n <= 300 and share >= 0.3:
+                assert not got

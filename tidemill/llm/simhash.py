@@ -38,6 +38,9 @@ BITS = 64
 BLOCK = 512
 #: Keys of large buckets that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 50_000
+#: 64-bit words of a parity sketch, and the columns that hold one, after the number of shingles.
+SKETCH = 8
+SKETCHED = ["n", *[f"p{k}" for k in range(SKETCH)]]
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -75,15 +78,30 @@ def all_fingerprints(text: bytes, shingle: int = 3, seed: int = 42, more: int =
     return tuple(np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist())
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, more: int = 0) -> DataFrame:
-    """(id, key, fp, fp1, ...): fp and ``more`` others as signed 64-bit integers; key is a hash of the text, which tells rows of one id apart."""
+def parity(own: np.ndarray) -> np.ndarray:
+    """How many hashes a set has, and for each of 64 * SKETCH buckets whether it holds an odd number of them.
+
+    Sets that differ in m hashes differ in m of these bits at most, whatever their sizes.
+    """
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.concatenate([[len(own)], np.packbits(odd, bitorder="little").view(np.int64)])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, more: int = 0, sketch: int = 0) -> DataFrame:
+    """(id, key, fp, fp1, ...): fp and ``more`` others as signed 64-bit integers; key is a hash of the text, which tells rows of one id apart.
+
+    sketch: adds the parity sketch of the text's shingles of that many words.
+    """
     names = ["fp", *[f"fp{k}" for k in range(1, more + 1)]]
-    schema = pa.schema([(c, pa.int64()) for c in ("id", "key", *names)])
+    drawn = SKETCHED if sketch else []
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "key", *names, *drawn)])
 
     def step():
         def apply(batch):
-            fps = np.array([all_fingerprints(t, shingle, seed, more) for t in as_binary(batch.column(2)).to_pylist()], np.uint64).reshape(-1, more + 1)
-            return batch_of(schema, batch.column(0), batch.column(1), *[fps[:, k].copy().view(np.int64) for k in range(more + 1)])
+            texts = as_binary(batch.column(2)).to_pylist()
+            fps = np.array([all_fingerprints(t, shingle, seed, more) for t in texts], np.uint64).reshape(-1, more + 1)
+            sketches = np.array([parity(shingle_set(t, sketch)) for t in texts], np.int64).reshape(-1, len(drawn)) if sketch else fps
+            return batch_of(schema, batch.column(0), batch.column(1), *[fps[:, k].copy().view(np.int64) for k in range(more + 1)], *[sketches[:, k].copy() for k in range(len(drawn))])
 
         return apply
 
@@ -171,14 +189,15 @@ def masks(width: int, threshold: int) -> np.ndarray:
 # The search.
 
 
-def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool) -> DataFrame:
-    """(slot, sig, fp, probe): keys that are indexed, or those that are probed."""
-    schema = pa.schema([("slot", pa.int32()), ("sig", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_())])
+def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool, carried: list[str] = ()) -> DataFrame:
+    """(slot, sig, fp, probe, carried...): keys that are indexed, or those that are probed."""
+    schema = pa.schema([("slot", pa.int32()), ("sig", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_()), *[(c, pa.int64()) for c in carried]])
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                own = batch.column(0).slice(at, 4096).to_numpy().view(np.uint64)
+                own, *others = (c.slice(at, 4096).to_numpy() for c in batch.columns)
+                own = own.view(np.uint64)
                 for slot, (bits, threshold) in enumerate(parts):
                     if probes and not threshold:
                         continue
@@ -186,40 +205,42 @@ def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool)
                     near = masks(len(bits), threshold) if probes else np.zeros(1, np.uint64)
                     sig = (key[:, None] ^ near[None, :]).ravel()
                     n = len(sig)
-                    yield batch_of(schema, np.full(n, slot, np.int32), sig.view(np.int64), np.repeat(own, len(near)).view(np.int64), np.full(n, probes))
+                    yield batch_of(schema, np.full(n, slot, np.int32), sig.view(np.int64), np.repeat(own, len(near)).view(np.int64), np.full(n, probes), *[np.repeat(c, len(near)) for c in others])
 
-    return map_batches(fps.select("fp"), run, "slot int, sig long, fp long, probe boolean")
+    return map_batches(fps.select("fp", *carried), run, ", ".join(["slot int, sig long, fp long, probe boolean", *[f"{c} long" for c in carried]]))
 
 
-def _dealt(rows: DataFrame, large: DataFrame | None, joined: bool) -> DataFrame:
+def _dealt(rows: DataFrame, large: DataFrame | None, joined: bool, carried: list[str] = ()) -> DataFrame:
     """Adds the cells of a bucket's rows: one, or for large buckets a row of the grid of blocks."""
     if large is None:
-        return rows.select("slot", "sig", F.lit(0).alias("ia"), F.lit(0).alias("pb"), "fp", "probe")
+        return rows.select("slot", "sig", F.lit(0).alias("ia"), F.lit(0).alias("pb"), "fp", "probe", *carried)
     hit = rows.join(large if joined else F.broadcast(large), ["slot", "sig"], "left")
     blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(carried[0] if carried else "fp"), blocks).cast("int")
     cells = hit.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     # where a slot has no probe rows, its indexed rows stand on both sides: on each, against every block
     pick = F.when(F.col("probe"), F.array(F.struct(F.col("other").alias("ia"), F.col("own").alias("pb"))))
     pick = pick.otherwise(F.array(F.struct(F.col("own").alias("ia"), F.col("other").alias("pb"))))
-    return cells.withColumn("cell", F.explode(pick)).select("slot", "sig", F.col("cell.ia"), F.col("cell.pb"), "fp", "probe")
+    return cells.withColumn("cell", F.explode(pick)).select("slot", "sig", F.col("cell.ia"), F.col("cell.pb"), "fp", "probe", *carried)
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK, thin: bool = True) -> DataFrame:
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that have the components of all links within the radius.
 
-    thin=False: all links within the radius, some of them more than once.
+    similarity: rows have a ``root`` and a parity sketch too; (a, b) are then all roots within the radius whose sketches
+    leave it open that the sets' Jaccard similarity is at least that, some of them more than once.
     """
-    index = signatures(fps, parts, False)
+    carried = ["root", *SKETCHED] if similarity is not None else []
+    index = signatures(fps, parts, False, carried)
     sizes = index.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = written(sizes.select("slot", "sig", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
     held = large.count()
-    rows = index.unionByName(signatures(fps, [p if p[1] else (p[0], 0) for p in parts], True))
+    rows = index.unionByName(signatures(fps, [p if p[1] else (p[0], 0) for p in parts], True, carried))
     exact = [slot for slot, (_, t) in enumerate(parts) if t == 0]
     if held and exact:  # in cut buckets of exact slots, a block meets the others as probes
         twins = index.where(F.col("slot").isin(exact)).join(F.broadcast(large) if held <= BROADCAST_KEYS else large, ["slot", "sig"], "left_semi")
         rows = rows.unionByName(twins.withColumn("probe", F.lit(True)))
-    cells = _dealt(rows, large if held else None, held > BROADCAST_KEYS)
+    cells = _dealt(rows, large if held else None, held > BROADCAST_KEYS, carried)
     each = sum(len(masks(len(bits), t)) if t else 1 for bits, t in parts)
     n = partitions_for(fps, rows=fps.count() * (len(parts) + each))
     sorted_ = cells.repartition(n, "slot", "sig", "ia", "pb").sortWithinPartitions("slot", "sig", "ia", "pb", "probe")
@@ -227,7 +248,7 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
     def run(batches):
         rest = None
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
             new = np.zeros(len(cols[0]), bool)
@@ -238,16 +259,17 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, b
             if not len(heads):
                 continue
             rest = [c[heads[-1] :] for c in cols]
-            yield from _verified([c[: heads[-1]] for c in cols], heads, radius, thin)
+            yield from _verified([c[: heads[-1]] for c in cols], heads, radius, similarity)
         if rest is not None and len(rest[0]):
-            yield from _verified(rest, np.array([0, len(rest[0])]), radius, thin)
+            yield from _verified(rest, np.array([0, len(rest[0])]), radius, similarity)
 
     return map_batches(sorted_, run, "a long, b long")
 
 
-def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, thin: bool, budget: int = 1 << 20):
-    """Links of the buckets that begin at heads (the last one ends them), thinned to forests if asked. Indexed rows come first in each."""
+def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, similarity: float | None, budget: int = 1 << 20):
+    """Links of the buckets that begin at heads (the last one ends them): forests of fingerprints, or all of the roots that may be similar. Indexed rows come first in each."""
     fp, probe = cols[4].view(np.uint64), cols[5].astype(np.int64)
+    node = cols[4] if similarity is None else cols[6]
     sizes = np.diff(heads)
     many = np.flatnonzero(sizes > 1)
     if not len(many):
@@ -260,13 +282,20 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, thin: bool
     pairs = held * others
     found_a, found_b = [], []
 
-    def keep(x, y):
-        good = (np.bitwise_count(x ^ y) <= radius) & (x != y)
-        if good.any():
-            a, b = x[good].view(np.int64), y[good].view(np.int64)
-            a, b = forest(a, b) if thin else np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0).T
-            found_a.append(a)
-            found_b.append(b)
+    def keep(i, j):
+        good = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (node[i] != node[j])
+        if not good.any():
+            return
+        i, j = i[good], j[good]
+        if similarity is not None:
+            # sets of a Jaccard similarity s differ in (1 - s) / (1 + s) of their sizes' sum
+            apart = sum(np.bitwise_count((c[i] ^ c[j]).view(np.uint64)).astype(np.int64) for c in cols[8:])
+            good = apart <= (cols[7][i] + cols[7][j]) * (1 - similarity) / (1 + similarity) + 1e-6
+            i, j = i[good], j[good]
+        a, b = node[i], node[j]
+        a, b = forest(a, b) if similarity is None else np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0).T
+        found_a.append(a)
+        found_b.append(b)
 
     small = np.flatnonzero((pairs > 0) & (pairs <= budget))
     group = np.cumsum(pairs[small]) // budget
@@ -275,16 +304,16 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, thin: bool
         n = pairs[own]
         q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(others[own], n)
-        keep(fp[np.repeat(first[own], n) + q // width], fp[np.repeat(other[own], n) + q % width])
+        keep(np.repeat(first[own], n) + q // width, np.repeat(other[own], n) + q % width)
     for k in np.flatnonzero(pairs > budget).tolist():
-        a = fp[first[k] : first[k] + held[k]]
+        a = np.arange(first[k], first[k] + held[k])
         step = max(1, budget // len(a))
         for at in range(0, int(others[k]), step):
-            part = fp[other[k] + at : other[k] + min(at + step, int(others[k]))]
+            part = np.arange(other[k] + at, other[k] + min(at + step, int(others[k])))
             keep(np.repeat(a, len(part)), np.tile(part, len(a)))
     if found_a:
         x, y = np.concatenate(found_a), np.concatenate(found_b)
-        yield pa.record_batch(list(forest(x, y)) if thin else [x, y], ["a", "b"])
+        yield pa.record_batch(list(forest(x, y)) if similarity is None else [x, y], ["a", "b"])
 
 
 def planned(nodes: DataFrame, radius: int, sample: int = 2048) -> list[tuple[list[int], int]]:
@@ -311,9 +340,9 @@ def near_duplicates(
     return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, seed: int = 42, sample: int = 2048, block: int = BLOCK, more: int = 0) -> DataFrame:
+def _classed(docs: DataFrame, id_col: str, text_col: str, radius: int = 3, shingle: int = 3, seed: int = 42, sample: int = 2048, block: int = BLOCK, more: int = 0, sketch: int = 0) -> DataFrame:
     """(id, key, fp, fp1, ..., root, component_id) for every row: root is a fingerprint that stands for the component."""
-    fps = written(fingerprints(docs, id_col, text_col, shingle, seed, more), "fingerprints")
+    fps = written(fingerprints(docs, id_col, text_col, shingle, seed, more, sketch), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     parts = planned(nodes, radius, sample)
     if parts:
@@ -335,24 +364,18 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int, similarity: float, words: int, looks: int, **options) -> tuple[DataFrame, DataFrame]:
     """Rows as ``_classed`` gives them, and for each class (root, at, group): its first row and a root of the classes put together."""
-    base = written(_classed(docs, id_col, text_col, radius, more=looks - 1, **options), "classes")
+    base = written(_classed(docs, id_col, text_col, radius, more=looks - 1, sketch=words, **options), "classes")
     names = ["fp", *[f"fp{k}" for k in range(1, looks)]]
     # rows without an id come last, rows that share one in the order of their texts' hashes
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", *names)).alias("at")
-    firsts = written(base.groupBy("root").agg(first).select("root", "at", *[f"at.{c}" for c in names]), "firsts")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", *names, *SKETCHED)).alias("at")
+    firsts = written(base.groupBy("root").agg(first).select("root", "at", *[f"at.{c}" for c in (*names, *SKETCHED)]), "firsts")
     found = None
     for c in names:
-        own = firsts.select(F.col(c).alias("fp")).distinct()
+        own = firsts.select(F.col(c).alias("fp"), "root", *SKETCHED)
         parts = planned(own, wide)
         if not parts:
             return base, firsts.select("root", "at", F.col("root").alias("group"))
-        near = links(own, parts, wide, thin=False).distinct()
-        a, b = (firsts.select(F.col(c).alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-        met = near.join(a, "a").join(b, "b").select("root_a", "root_b")
-        if c != "fp":  # classes may share another fingerprint
-            same = firsts.select(F.col(c).alias("b"), F.col("root").alias("root_b"))
-            met = met.unionByName(a.join(same, (F.col("a") == F.col("b")) & (F.col("root_a") < F.col("root_b"))).select("root_a", "root_b"))
-        met = met.select(F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
+        met = links(own, parts, wide, similarity=similarity).select(F.col("a").alias("root_a"), F.col("b").alias("root_b"))
         found = met if found is None else found.unionByName(met)
     pairs = written(found.distinct(), "alike")
     asked = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
@@ -398,7 +421,8 @@ def similar_documents(
     First documents of classes are searched within ``wide`` bits of any of
     ``looks`` fingerprints over different hashes, and joined if the Jaccard
     similarity of their shingle sets, of ``words`` words, is at least
-    ``similarity``. Two fingerprints miss a pair independently, so each look
+    ``similarity``. Pairs whose parity sketches show that they are less alike
+    are dropped where they meet. Two fingerprints miss a pair independently, so each look
     more misses a part of what is left. Classes are known by fingerprints, so
     rows that have no id, or share one, are compared like others; the first
     row of a class is that of the least id, then of the least text hash, with
