@@ -39,7 +39,7 @@ BLOCK = 512
 #: Keys of large buckets that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 50_000
 #: 64-bit words of a parity sketch, and the columns that hold one, after the number of shingles.
-SKETCH = 8
+SKETCH = 4
 SKETCHED = ["n", *[f"p{k}" for k in range(SKETCH)]]
 
 
@@ -375,7 +375,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, radius: int, wide: int
         parts = planned(own, wide)
         if not parts:
             return base, firsts.select("root", "at", F.col("root").alias("group"))
+        # written by themselves, so that the shuffle of one look is gone before the next one's
         met = links(own, parts, wide, similarity=similarity).select(F.col("a").alias("root_a"), F.col("b").alias("root_b"))
+        met = written(met.distinct(), "met")
         found = met if found is None else found.unionByName(met)
     pairs = written(found.distinct(), "alike")
     asked = pairs.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +36,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within leaves no shuffle files: once it is in the shared folder, nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back with the same schema."""
     spark = df.sparkSession
     path = scratch(spark, name)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _shuffles_removed(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,7 +78,8 @@ def sorted_run(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataF
     spark = df.sparkSession
     path = scratch(spark, name)
     table = "tidemill_" + path.rsplit("/", 1)[1].replace("-", "_")
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    with _shuffles_removed(spark):
+        df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     _tables.append(table)
     return spark.table(table)
 
