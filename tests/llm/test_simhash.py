@@ -135,3 +135,32 @@ def test_parity_sketches_drop_no_pair_that_is_alike():
             assert got or shared < 0.8 * (len(a) + len(b) - shared)
             if 9 <= n <= 300 and share >= 0.3:
                 assert not got
+
+
+@pytest.mark.parametrize(("block", "total"), [(3, 100), (512, 10**8)])
+def test_search_in_passes_finds_the_same_links(spark, monkeypatch, block, total):
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    fps = np.unique([np.uint64(int(f) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for f in fps for k in (0, 2, 5, 9)])
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    # two kinds of sets: alike are those of one kind
+    sketches = [simhash.parity(np.arange(k * 1000, k * 1000 + 200) << 20) for k in (0, 1)]
+    rows = [(int(f.view(np.int64)), i, *map(int, sketches[i % 2])) for i, f in enumerate(fps)]
+    df = spark.createDataFrame(rows, "fp long, root long, " + ", ".join(f"{c} long" for c in simhash.SKETCHED))
+    want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if apart[i, j] <= 9 and i % 2 == j % 2}
+    names, kept = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda table, name: names.append(name) or kept(table, name))
+    parts = simhash.plan(fps, total, 9)
+    once = {tuple(sorted(r)) for r in simhash.links(df, parts, 9, block, 0.8).collect()}
+    assert once == want and "pass" not in names
+    parted = {tuple(sorted(r)) for r in simhash.links(df, parts, 9, block, 0.8, pass_rows=8000).collect()}
+    assert parted == want and names.count("pass") > 1
+
+
+def test_plan_of_a_large_table_deals_out_few_rows():
+    import pyarrow.dataset as ds
+
+    texts = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table(columns=["text"])["text"].to_pylist()
+    fps = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.uint64))
+    rows = [sum(1 + (len(simhash.masks(len(bits), t)) if t else 0) for bits, t in simhash.plan(fps, total, 9)) for total in (200_000, 3_000_000, 15_000_000)]
+    assert max(rows) <= 100, rows  # 312 rows of 60 bytes were ten times a document's share of the input

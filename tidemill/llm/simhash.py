@@ -9,7 +9,9 @@ of fingerprints predicts; the sample decides the cost of the search, never its
 result. Every fingerprint is indexed by its bits on each partition and probes
 all values within the threshold; colliding pairs are verified on 64 bits.
 Buckets above a size are cut into blocks and dealt out as pairs of blocks, and
-tasks hand on spanning forests of the links they find, not the links.
+tasks hand on spanning forests of the links they find, not the links. A search
+that would deal out more rows than the disk should hold at once is done in
+passes over parts of the keys, each written before the next one starts.
 
 Defined results: a null or blank text has fingerprint 0, linked like any
 other; equal texts share a fingerprint; rows that repeat an id stay rows of
@@ -20,6 +22,7 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -34,8 +37,12 @@ from .components import components, forest
 from .store import partitions_for, written
 
 BITS = 64
-#: Rows of a bucket that are compared within one task; larger buckets are cut into blocks.
-BLOCK = 512
+#: Rows of a bucket that are compared within one task; larger buckets are cut into blocks, MOST_BLOCKS at most, as each row is dealt to as many cells.
+BLOCK, MOST_BLOCKS = 2048, 16
+#: What dealing out a row costs, in pairs that are verified (6.7 microseconds, and up to 10 nanoseconds).
+ROW = 700
+#: Rows that a pass of a search deals out: so many for each fingerprint (of some 60 bytes each), and so many at least.
+ROWS_EACH, PASS_ROWS = 32, 4 << 20
 #: Keys of large buckets that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 50_000
 #: 64-bit words of a parity sketch, and the columns that hold one, after the number of shingles.
@@ -144,11 +151,10 @@ def costs(sample: np.ndarray, bits: list[int], most: int, total: int) -> list[fl
     near[0] -= n
     uniform = np.array([comb(len(bits), d) / 2.0 ** len(bits) for d in range(most + 1)])
     share = np.maximum(near / max(1, n * (n - 1)), uniform)  # a small sample may see no near pair at all
-    out, rows = [0.0], 0
+    out, rows, blocks = [0.0], 0, 1 + min(MOST_BLOCKS, share[0] * total / BLOCK)
     for t in range(most + 1):
         rows += comb(len(bits), t)
-        # a row that is dealt out costs about as much as 64 pairs
-        out.append((rows + (t > 0)) * total * 64.0 + share[: t + 1].sum() * float(total) ** 2)
+        out.append((rows + (t > 0)) * blocks * total * ROW + share[: t + 1].sum() * float(total) ** 2)
     return out
 
 
@@ -189,8 +195,8 @@ def masks(width: int, threshold: int) -> np.ndarray:
 # The search.
 
 
-def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool, carried: list[str] = ()) -> DataFrame:
-    """(slot, sig, fp, probe, carried...): keys that are indexed, or those that are probed."""
+def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool, carried: list[str] = (), part: int = 0, of: int = 1) -> DataFrame:
+    """(slot, sig, fp, probe, carried...): keys that are indexed, or those that are probed; of all keys, those of one part."""
     schema = pa.schema([("slot", pa.int32()), ("sig", pa.int64()), ("fp", pa.int64()), ("probe", pa.bool_()), *[(c, pa.int64()) for c in carried]])
 
     def run(batches):
@@ -204,8 +210,9 @@ def signatures(fps: DataFrame, parts: list[tuple[list[int], int]], probes: bool,
                     key = key_of(own, bits)
                     near = masks(len(bits), threshold) if probes else np.zeros(1, np.uint64)
                     sig = (key[:, None] ^ near[None, :]).ravel()
-                    n = len(sig)
-                    yield batch_of(schema, np.full(n, slot, np.int32), sig.view(np.int64), np.repeat(own, len(near)).view(np.int64), np.full(n, probes), *[np.repeat(c, len(near)) for c in others])
+                    at_ = np.arange(len(sig)) if of == 1 else np.flatnonzero((_mixed(sig, slot + 1) >> np.uint64(33)) % np.uint64(of) == part)
+                    sig, row, n = sig[at_], at_ // len(near), len(at_)
+                    yield batch_of(schema, np.full(n, slot, np.int32), sig.view(np.int64), own[row].view(np.int64), np.full(n, probes), *[c[row] for c in others])
 
     return map_batches(fps.select("fp", *carried), run, ", ".join(["slot int, sig long, fp long, probe boolean", *[f"{c} long" for c in carried]]))
 
@@ -224,49 +231,65 @@ def _dealt(rows: DataFrame, large: DataFrame | None, joined: bool, carried: list
     return cells.withColumn("cell", F.explode(pick)).select("slot", "sig", F.col("cell.ia"), F.col("cell.pb"), "fp", "probe", *carried)
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], radius: int = 3, block: int = BLOCK, similarity: float | None = None, pass_rows: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that have the components of all links within the radius.
 
     similarity: rows have a ``root`` and a parity sketch too; (a, b) are then all roots within the radius whose sketches
     leave it open that the sets' Jaccard similarity is at least that, some of them more than once.
+    pass_rows: rows that are dealt out at once; a search of more goes through its keys in as many parts, so that the
+    shuffle of one is gone before the next one's. A key's rows are never parted.
     """
     carried = ["root", *SKETCHED] if similarity is not None else []
-    index = signatures(fps, parts, False, carried)
-    sizes = index.groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    large = written(sizes.select("slot", "sig", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-buckets")
-    held = large.count()
-    rows = index.unionByName(signatures(fps, [p if p[1] else (p[0], 0) for p in parts], True, carried))
+    sizes = signatures(fps, parts, False).groupBy("slot", "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    large = written(sizes.select("slot", "sig", F.least(F.ceil(F.col("n") / block), F.lit(MOST_BLOCKS)).cast("int").alias("blocks"), "n"), "large-buckets")
+    found = large.groupBy("slot").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.col("n") * F.col("blocks")).alias("rows")).collect()
+    large, held = large.drop("n"), sum(r["keys"] for r in found)
     exact = [slot for slot, (_, t) in enumerate(parts) if t == 0]
-    if held and exact:  # in cut buckets of exact slots, a block meets the others as probes
-        twins = index.where(F.col("slot").isin(exact)).join(F.broadcast(large) if held <= BROADCAST_KEYS else large, ["slot", "sig"], "left_semi")
-        rows = rows.unionByName(twins.withColumn("probe", F.lit(True)))
-    cells = _dealt(rows, large if held else None, held > BROADCAST_KEYS, carried)
-    each = sum(len(masks(len(bits), t)) if t else 1 for bits, t in parts)
-    n = partitions_for(fps, rows=fps.count() * (len(parts) + each))
-    sorted_ = cells.repartition(n, "slot", "sig", "ia", "pb").sortWithinPartitions("slot", "sig", "ia", "pb", "probe")
+    probes = [len(masks(len(bits), t)) if t else 0 for bits, t in parts]
+    nodes = fps.count()
+    dealt = nodes * (len(parts) + sum(probes)) + sum(r["rows"] * (1 + max(1, probes[r["slot"]])) for r in found)
+    passes = -(-dealt // (pass_rows or max(PASS_ROWS, ROWS_EACH * nodes))) or 1
+    n = partitions_for(fps, rows=dealt // passes)
+
+    def cells(part: int) -> DataFrame:
+        index = signatures(fps, parts, False, carried, part, passes)
+        rows = index if len(exact) == len(parts) else index.unionByName(signatures(fps, parts, True, carried, part, passes))
+        if held and exact:  # in cut buckets of exact slots, a block meets the others as probes
+            twins = index.where(F.col("slot").isin(exact)).join(F.broadcast(large) if held <= BROADCAST_KEYS else large, ["slot", "sig"], "left_semi")
+            rows = rows.unionByName(twins.withColumn("probe", F.lit(True)))
+        out = _dealt(rows, large if held else None, held > BROADCAST_KEYS, carried)
+        if held and exact:  # once a pair of blocks
+            out = out.where(~F.col("slot").isin(exact) | (F.col("ia") <= F.col("pb")))
+        return out.repartition(n, "slot", "sig", "ia", "pb").sortWithinPartitions("slot", "sig", "ia", "pb", "probe")
 
     def run(batches):
-        rest = None
+        held = []  # of one cell that has not ended yet
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            if rest is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
+            if not len(cols[0]):
+                continue
             new = np.zeros(len(cols[0]), bool)
-            new[:1] = True
+            new[0] = bool(held) and any(c[0] != h[-1] for c, h in zip(cols[:4], held[-1][:4], strict=True))
             for c in cols[:4]:
                 new[1:] |= c[1:] != c[:-1]
             heads = np.flatnonzero(new)
-            if not len(heads):
-                continue
-            rest = [c[heads[-1] :] for c in cols]
-            yield from _verified([c[: heads[-1]] for c in cols], heads, radius, similarity)
-        if rest is not None and len(rest[0]):
-            yield from _verified(rest, np.array([0, len(rest[0])]), radius, similarity)
-
-    return map_batches(sorted_, run, "a long, b long")
-
-
-def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, similarity: float | None, budget: int = 1 << 20):
+            if len(heads):
+                before = sum(len(h[0]) for h in held)
+                whole = [np.concatenate(c) for c in zip(*held, [c[: heads[-1]] for c in cols], strict=True)]
+                yield from _verified(whole, np.concatenate([[0], before + heads]), radius, similarity)
+                held, cols = [], [c[heads[-1] :] for c in cols]
+            held.append(cols)
+        if held:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from _verified(whole, np.array([0, len(whole[0])]), radius, similarity)
+
+    if passes == 1:
+        return map_batches(cells(0), run, "a long, b long")
+    out = [written(map_batches(cells(part), run, "a long, b long").distinct(), "pass") for part in range(passes)]
+    return reduce(DataFrame.unionByName, out)
+
+
+def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, similarity: float | None, budget: int = 1 << 18):
     """Links of the buckets that begin at heads (the last one ends them): forests of fingerprints, or all of the roots that may be similar. Indexed rows come first in each."""
     fp, probe = cols[4].view(np.uint64), cols[5].astype(np.int64)
     node = cols[4] if similarity is None else cols[6]
@@ -283,7 +306,8 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, similarity
     found_a, found_b = [], []
 
     def keep(i, j):
-        good = (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (node[i] != node[j])
+        """i, j: rows within the radius."""
+        good = node[i] != node[j]
         if not good.any():
             return
         i, j = i[good], j[good]
@@ -297,20 +321,22 @@ def _verified(cols: list[np.ndarray], heads: np.ndarray, radius: int, similarity
         found_a.append(a)
         found_b.append(b)
 
-    small = np.flatnonzero((pairs > 0) & (pairs <= budget))
+    small = np.flatnonzero((pairs > 0) & (pairs <= 4096))
     group = np.cumsum(pairs[small]) // budget
-    for g in np.unique(group):
-        own = small[group == g]
+    for own in np.split(small, np.flatnonzero(np.diff(group)) + 1):
         n = pairs[own]
         q = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         width = np.repeat(others[own], n)
-        keep(np.repeat(first[own], n) + q // width, np.repeat(other[own], n) + q % width)
-    for k in np.flatnonzero(pairs > budget).tolist():
-        a = np.arange(first[k], first[k] + held[k])
-        step = max(1, budget // len(a))
-        for at in range(0, int(others[k]), step):
-            part = np.arange(other[k] + at, other[k] + min(at + step, int(others[k])))
-            keep(np.repeat(a, len(part)), np.tile(part, len(a)))
+        i, j = np.repeat(first[own], n) + q // width, np.repeat(other[own], n) + q % width
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        keep(i[near], j[near])
+    for k in np.flatnonzero(pairs > 4096).tolist():  # a table of each is several times faster than pairs of row numbers
+        right = fp[other[k] : other[k] + others[k]]
+        step = max(1, budget // len(right))
+        for at in range(int(first[k]), int(first[k] + held[k]), step):
+            left = fp[at : min(at + step, int(first[k] + held[k]))]
+            i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
+            keep(i + at, j + other[k])
     if found_a:
         x, y = np.concatenate(found_a), np.concatenate(found_b)
         yield pa.record_batch(list(forest(x, y)) if similarity is None else [x, y], ["a", "b"])
